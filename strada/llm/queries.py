@@ -1,9 +1,15 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from strada.llm import exact_dedup
+from strada.llm import ann, exact_dedup, language, near_dedup, packing, token_files, toxicity
 
 QUERIES = {
+    "op1_ann": ann.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_token_files": token_files.query,
+    "op4_toxicity": toxicity.query,
+    "op6_packing": packing.query,
+    "op9_language_id": language.query,
+    "op10_near_dedup": near_dedup.query,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
