@@ -23,11 +23,16 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strada.llm.common import crc_mod, prepared, table, work_dir
 
 PER_LANGUAGE, NGRAMS, PENALTY, ROUNDS, REMEMBERED = 1500, 40_000, 2.0, 12, 200_000
+#: Of the letter, the bigram and the trigram in a letter's probability.
+WEIGHTS = (0.1, 0.3, 0.6)
+#: Languages told apart at most, the most frequent in the training rows.
+LANGUAGES = 512
 #: The largest difference of log likelihood between languages that a single word counts for.
 WORD_LIMIT = 12.0
 
@@ -43,12 +48,12 @@ def ngrams_of(word: str) -> list[str]:
 
 
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE, keep: int = NGRAMS) -> dict:
-    """rows: (doc_id, text, lang). {"langs": [...], "logp": {n-gram: [log probability by language]}, "floor": [...]}"""
+    """rows: (doc_id, text, lang). {"langs": [...], "p": {n-gram: [probability by language]}, "floors": by n, of those that were not kept}"""
     known = rows.where("lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(512).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(counts)
     if not langs:
-        return {"langs": [], "logp": {}, "floor": []}
+        return {"langs": [], "p": {}, "floors": []}
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))])
     u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
     taken = known.where(u < F.element_at(share, F.col("lang"))).select("lang", "text")
@@ -65,12 +70,10 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE, keep: int = NGRAMS)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "gram": pa.array([r[1] for r in rows], pa.string()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
     grams = taken.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window as W
-
     top = grams.withColumn("r", F.row_number().over(W.partitionBy("lang", F.length("gram")).orderBy(F.desc("n"), "gram"))).where(F.col("r") <= keep // 2).select("lang", "gram", "n")
     place = {k: i for i, k in enumerate(langs)}
     tables: list[dict[str, np.ndarray]] = [{}, {}, {}]
-    for r in top.collect():  # at most 512 * 1.5 * NGRAMS short rows
+    for r in top.collect():  # at most LANGUAGES * 1.5 * NGRAMS short rows
         tables[len(r["gram"]) - 1].setdefault(r["gram"], np.zeros(len(langs)))[place[r["lang"]]] = r["n"]
     logp: dict[str, np.ndarray] = {}
     floors = []
@@ -88,20 +91,25 @@ class Words(dict):
 
     def __init__(self, model: dict):
         super().__init__()
-        self.p = {g: np.array(x) for g, x in model["p"].items()}
-        self.floors = [np.array(f) for f in model["floors"]]
+        self.place, self.logs = self._logs(model)
         self.rows = np.ones((1024, len(model["langs"])))
         self.n = 1
 
+    @staticmethod
+    def _logs(model: dict) -> tuple[dict[str, int], np.ndarray]:
+        """For each n-gram kept, the log probability of its last letter after the others; of a trigram that wasn't kept, its last bigram's or letter's."""
+        p = {g: np.array(x) for g, x in model["p"].items()}
+        floors = [np.array(f) for f in model["floors"]]
+        place, logs = {"": 0}, [np.log(sum(w * f for w, f in zip(WEIGHTS, floors, strict=True)))]
+        for g in p:
+            place[g] = len(logs)
+            logs.append(np.log(sum(w * (p.get(g[-n:], floors[n - 1]) if n <= len(g) else floors[n - 1]) for n, w in enumerate(WEIGHTS, 1))))
+        return place, np.array(logs)
+
     def _log(self, word: str) -> np.ndarray:
-        w, out = f"^{word}$", 0.0
-        for i in range(2, len(w) + 1):
-            p = 0.0
-            for n, weight in ((1, 0.1), (2, 0.3), (3, 0.6)):
-                if i >= n:
-                    p = p + weight * self.p.get(w[i - n : i], self.floors[n - 1])
-            out = out + np.log(p)
-        return out
+        w, get = f"^{word}$", self.place.get
+        at = [get(w[i : i + 3]) or get(w[i + 1 : i + 3]) or get(w[i + 2]) or 0 for i in range(len(w) - 2)]
+        return self.logs[at].sum(axis=0)
 
     def __missing__(self, token: str) -> int:
         parts = words_of(token)
@@ -145,6 +153,30 @@ def infer(p: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> tuple[list[
     return langs, share, like - float(single.max())
 
 
+def predict(held: Words, langs: list[str], texts: list) -> tuple[list[str], list[float], list[list[str]]]:
+    """For each text the prediction, its score and the chosen set, the largest share first."""
+    names, scores, sets = [], [], []
+    for t in texts:
+        if held.n > REMEMBERED:
+            held.forget()
+        tokens = (t or "").lower().split()
+        at = np.fromiter(map(held.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        seen, n = np.unique(at, return_counts=True)
+        if len(seen) and seen[0] == 0:
+            seen, n = seen[1:], n[1:]
+        if not len(seen):
+            names.append("und")
+            scores.append(0.0)
+            sets.append([])
+            continue
+        chosen, share, ahead = infer(held.rows[seen], n.astype(np.float64))
+        best = int(np.argmax(share))
+        names.append(langs[chosen[best]])
+        scores.append(float(min(1.0, share[best] / share.sum()) / (1.0 + math.exp(-min(50.0, max(-50.0, ahead))))))
+        sets.append([langs[chosen[k]] for k in np.argsort(-share, kind="stable")])
+    return names, scores, sets
+
+
 def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, langs): langs holds the chosen set, the largest share first."""
     spark, langs = docs.sparkSession, model["langs"]
@@ -157,30 +189,7 @@ def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "tex
     def run(batches):
         held = Words(sent.value)
         for b in batches:
-            names, scores, sets = [], [], []
-            for t in b.column(1).to_pylist():
-                if held.n > REMEMBERED:
-                    held.forget()
-                tokens = t.lower().split()
-                at = np.fromiter(map(held.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-                count = np.bincount(at, minlength=1) if len(at) < 64 else None
-                if count is None:
-                    seen, n = np.unique(at, return_counts=True)
-                else:
-                    seen = np.flatnonzero(count)
-                    n = count[seen]
-                if len(seen) and seen[0] == 0:
-                    seen, n = seen[1:], n[1:]
-                if not len(seen):
-                    names.append("und")
-                    scores.append(0.0)
-                    sets.append([])
-                    continue
-                chosen, share, ahead = infer(held.rows[seen], n.astype(np.float64))
-                best = int(np.argmax(share))
-                names.append(langs[chosen[best]])
-                scores.append(float(min(1.0, share[best] / share.sum()) / (1.0 + math.exp(-min(50.0, max(-50.0, ahead))))))
-                sets.append([langs[chosen[k]] for k in np.argsort(-share, kind="stable")])
+            names, scores, sets = predict(held, langs, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string()))], ["doc_id", "lang_pred", "score", "langs"])
 
     return own.mapInArrow(run, schema)
@@ -190,10 +199,34 @@ def held_out():
     return crc_mod(F.col("doc_id"), 3) == 1
 
 
+def _learnable(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    return rows.where("doc_id IS NOT NULL").where(~held_out())
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, lang and others) that have a language, whole and unshuffled; a null lang becomes the prediction."""
+    spark, model = docs.sparkSession, train(_learnable(docs))
+    langs, names, schema = model["langs"], docs.columns, docs.schema
+    if not langs:
+        return docs.limit(0)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        held = Words(sent.value)
+        for b in batches:
+            found, _, _ = predict(held, langs, b.column(names.index("text")).to_pylist())
+            columns = list(b.columns)
+            k = names.index("lang")
+            columns[k] = pa.array([f if x is None else x for x, f in zip(columns[k].to_pylist(), found, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([f != "und" for f in found], pa.bool_()))
+
+    return docs.where("doc_id IS NOT NULL").mapInArrow(run, schema)
+
+
 def language_id(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, langs) for docs (doc_id, text); the model learns from the rows of learn_from that aren't held out."""
-    rows = (docs if learn_from is None else learn_from).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = train(rows.where("doc_id IS NOT NULL").where(~held_out()))
+    model = train(_learnable(docs if learn_from is None else learn_from))
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "langs")
 
 
