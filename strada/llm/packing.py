@@ -34,7 +34,7 @@ def encoded(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str, t
         end = np.array([end_id], dtype="<u4").tobytes()
         small = tokens.tokenizer.get_vocab_size() <= 1 << 16
         for b in batches:
-            ids = [tokens.encode(t) + end for t in b.column(1).to_pylist()]
+            ids = [i + end for i in tokens.encode(b.column(1).to_pylist())]
             counts = np.array([len(i) // 4 for i in ids], dtype=np.int64)
             places = before + np.cumsum(counts) - counts
             before += int(counts.sum())

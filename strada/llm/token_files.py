@@ -98,7 +98,7 @@ class Reader:
 
     def __init__(self, f):
         self.f = f
-        if f.read(len(MAGIC)) != MAGIC:
+        if self._get(0, len(MAGIC)) != MAGIC:
             raise ValueError("not a token file")
         f.seek(0, 2)
         end = f.tell() - _FOOTER.size
@@ -148,8 +148,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id:
         with files.committed(f"{folder}/{name}") as f:
             w = Writer(f, bits)
             while first is not None:
-                for doc_id, t in zip(first.column(0).to_pylist(), first.column(1).to_pylist(), strict=True):
-                    w.add(doc_id, tokens.encode(t) + end)
+                for doc_id, ids in zip(first.column(0).to_pylist(), tokens.encode(first.column(1).to_pylist()), strict=True):
+                    w.add(doc_id, ids + end)
                 first = next(batches, None)
             w.close()
         yield pa.RecordBatch.from_pydict({"name": [name], "part": [part], "documents": [len(w.docs)], "tokens": [w.total]})

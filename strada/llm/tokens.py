@@ -1,76 +1,116 @@
 """Token ids of whole texts, equal to encoding each text at once, by memoising the pieces between spaces.
 
 Both vocabularies here split a text before they merge, and neither split crosses a space that stands alone between two
-other characters, so a text's ids are the ids of its space-led pieces one after the other. Pieces are encoded by the
-tokenizers library once per worker and remembered in a bounded table. A text with other white space than single spaces
-and single line breaks between characters, or with the text of a special token, is encoded whole.
+other characters, so a text's ids are the ids of its space-led pieces one after the other. Texts are cut by Arrow, some MB
+at a time; each distinct piece is looked up once, encoded by the tokenizers library where it is new, and remembered in a
+bounded table; numpy lays the pieces' ids out. A stop or comma after a letter is a piece of its own, since both splits part
+it from the letter; it is marked, as it has no space before it. A text with other white space than single spaces and single
+line breaks between characters, with the mark itself, or with the text of a special token, is encoded whole.
 """
 
 from __future__ import annotations
 
-import numpy as np
-
-#: Pieces that a worker remembers; the table is emptied when it is full.
-REMEMBERED = 250_000
-
-
-class _Whole(Exception):
-    """The text can't be cut."""
+import os
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-class _Pieces(dict):
-    def __init__(self, encode, lead: bool):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        if self.lead:  # a piece is led by a space, or by the line break that it begins with
-            body = piece[1:] if piece[:1] == "\n" else piece
-            if not body or body[0].isspace() or body[-1].isspace():
-                raise _Whole
-            ids = self.encode("\n") + self.encode(body) if body is not piece else self.encode(f" {piece}")
-        else:
-            ids = self.encode(piece)
-        out = self[piece] = np.asarray(ids, dtype="<u4").tobytes()
-        return out
+#: Pieces in each of the two generations that a worker remembers; the older one is dropped when the newer is full.
+REMEMBERED = 600_000
+#: Characters of the texts that are cut together.
+TOGETHER = 8_000_000
+_MARK = "\x01"
 
 
 class Encoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit integers.
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers.
 
     spaced: the vocabulary keeps white space (a word is led by its space); else white space only parts words.
     """
 
     def __init__(self, path: str, spaced: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self._ids, spaced)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self._ids(text), dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._whole(text)
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        if not self.spaced:
-            return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
-        head, *rest = text.replace("\n", " \n").split(" ")
-        if not head or head[0].isspace() or head[-1].isspace():
-            return self._whole(text)
-        try:
-            tail = b"".join(map(self.pieces.__getitem__, rest))
-        except _Whole:
-            return self._whole(text)
-        return self._whole(head) + tail
+        self.special = [_MARK, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.new: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        self.line = self._ids(["\n"])[0]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        fresh = [p for p in pieces if p not in self.new]
+        if len(self.new) + len(fresh) > REMEMBERED:
+            self.old, self.new = self.new, {}
+            fresh = pieces
+        words, lines, bare = [], [], []
+        for p in fresh:
+            if p in self.old:
+                self.new[p] = self.old[p]
+            elif not self.spaced:
+                words.append(p)
+            else:  # a piece is led by a space, or by the line break that it begins with
+                body = p[1:] if p[:1] in ("\n", _MARK) else p
+                if not body or body[0].isspace() or body[-1].isspace():
+                    self.new[p] = None  # white space that can't be cut: the text is encoded whole
+                else:
+                    (words if body is p else lines if p[0] == "\n" else bare).append(p)
+        lead = " " if self.spaced else ""
+        self.new.update(zip(words, self._ids([lead + p for p in words]), strict=True))
+        self.new.update(zip(bare, self._ids([p[1:] for p in bare]), strict=True))
+        self.new.update(zip(lines, (self.line + ids for ids in self._ids([p[1:] for p in lines])), strict=True))
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        whole = np.array([not t or any(s in t for s in self.special) for t in texts], dtype=bool)
+        flat_texts = pc.replace_substring(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()), "\n", " \n" if self.spaced else " ")
+        if not self.spaced:  # this vocabulary is in lower case
+            flat_texts = pc.ascii_lower(flat_texts)
+        lists = pc.split_pattern(pc.replace_substring_regex(flat_texts, r"(\pL)([.,])", rf"\1 {_MARK}\2" if self.spaced else r"\1 \2"), " ")
+        starts = np.asarray(lists.offsets)
+        coded = lists.flatten().dictionary_encode()
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        heads: list[bytes] = []
+        if self.spaced:  # a text's first piece has no space before it
+            first = [pieces[k] for k in at[starts[:-1]]]
+            whole |= np.array([not h or h[0].isspace() or h[-1].isspace() for h in first], dtype=bool)
+            heads = self._ids(["" if w else h for h, w in zip(first, whole, strict=True)])
+            rest = np.ones(len(at), dtype=bool)
+            rest[starts[:-1]] = False
+            used = np.unique(at[rest])
+        else:
+            rest, used = np.ones(len(at), dtype=bool), np.arange(len(pieces))
+        self._learn([pieces[k] for k in used])
+        got = list(map(self.new.__getitem__, [pieces[k] for k in used]))
+        bad = np.zeros(len(pieces), dtype=bool)
+        if None in got:
+            bad[used] = [x is None for x in got]
+            got = [x or b"" for x in got]
+        flat, lengths = np.frombuffer(b"".join(got), dtype="<u4"), np.zeros(len(pieces), dtype=np.int64)
+        lengths[used] = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
+        each = np.where(rest, lengths[at], 0)
+        ends = np.cumsum(each)
+        place = np.repeat((np.cumsum(lengths) - lengths)[at] - (ends - each), each)
+        place += np.arange(len(place))
+        out_ids = flat[place]
+        edges = np.concatenate([[0], ends])[starts]
+        wrong = np.concatenate([[0], np.cumsum(bad[at] & rest)])[starts]
+        whole |= wrong[1:] > wrong[:-1]
+        again = iter(self._ids([t for t, w in zip(texts, whole, strict=True) if w]))
+        return [next(again) if whole[k] else (heads[k] if heads else b"") + out_ids[edges[k] : edges[k + 1]].tobytes() for k in range(len(texts))]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size > TOGETHER:
+                out += self._some(held)
+                held, size = [], 0
+        return out + self._some(held) if held else out
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
