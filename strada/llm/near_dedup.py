@@ -8,11 +8,13 @@ with a similarity of 0.75 differ in 16 of the 64 symbols on average, with a devi
 
 1. Documents with equal sets form a class, whose smallest doc_id stands for it: copies are gone before any pairing.
 2. Keys are exploded as (key, id); buckets of more than one member are kept, and of buckets with equal members one.
-3. A bucket is cut into blocks, each pair of blocks is one unit of work on signatures. It yields a spanning forest of its
-   links at or below the distance threshold, so at most one row per member, never all pairs.
-4. The forest's components are families. Families are cut into blocks again, and each pair of blocks is compared on the
+3. Each member is compared with its buckets' smallest members, once for each such pair: links at or below the distance
+   threshold join most of a large bucket in one row per member. Buckets whose members are joined by now are done.
+4. The other buckets are cut into blocks; each pair of blocks is one unit of work on signatures, which compares what isn't
+   joined yet and yields a spanning forest of the components it links, never all pairs.
+5. The components of both are families. Families are cut into blocks again, and each pair of blocks is compared on the
    full sets by exact integer counts, which yields a spanning forest of confirmed links.
-5. Components of the confirmed links, by minimum labels with pointer jumping over checkpoint tables.
+6. Components of the confirmed links, by minimum labels with pointer jumping over checkpoint tables.
 
 Nothing is capped: a large bucket or family becomes more block pairs, which are dealt to tasks.
 
@@ -184,16 +186,16 @@ def _similar(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _blocks(members: DataFrame, size: int) -> DataFrame:
-    """(key, i, j, blk, id): a key's n members in ceil(n / size) blocks, each block once for each block it is paired with."""
+    """(key, i, j, blk, id, node): a key's n members in ceil(n / size) blocks, each block once for each block it is paired with."""
     nb = F.ceil(F.col("n") / F.lit(size)).cast("int")
     blk = F.pmod(F.xxhash64("id", F.lit(7)), nb).cast("int")
     return members.withColumn("nb", nb).withColumn("blk", blk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "id"
+        "key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "id", "node"
     )
 
 
 def _linked(work: DataFrame, column: str, load, compare) -> DataFrame:
-    """Links (a, b) of each unit of work (key, i, j), from what compare finds between its two blocks."""
+    """Links (a, b) between the nodes of each unit of work (key, i, j), from what compare finds between its two blocks."""
 
     def run(batches):
         for t in _groups(batches, ["key", "i", "j"]):
@@ -201,7 +203,8 @@ def _linked(work: DataFrame, column: str, load, compare) -> DataFrame:
             ids, blk = t["id"].to_numpy(), t["blk"].to_numpy()
             _, first = np.unique(ids, return_index=True)
             one, two = first[blk[first] == i], first[blk[first] == j]
-            if not len(one) or not len(two) or (i == j and len(one) < 2):
+            node = t["node"].to_numpy()
+            if not len(one) or not len(two) or len(np.unique(node[np.concatenate([one, two])])) < 2:
                 continue
             got = t[column]
             left = load(got.take(pa.array(one)))
@@ -209,7 +212,9 @@ def _linked(work: DataFrame, column: str, load, compare) -> DataFrame:
             a, b = compare(left, right)
             if i == j:
                 a, b = a[a < b], b[a < b]
-            out = _forest(np.concatenate([ids[one], ids[two]]) if i != j else ids[one], a, b + (len(one) if i != j else 0))
+            names, place = np.unique(np.concatenate([node[one], node[two]]), return_inverse=True)
+            a, b = place[a], place[b + len(one)]
+            out = _forest(names, a[a != b], b[a != b])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
@@ -245,13 +250,28 @@ def near_dedup(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     keys = classes.select("id", "sig").mapInArrow(keyed, "key long, id long")
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("mark")).where("n > 1")
-    buckets = materialize(buckets.groupBy("n", "low", "mark").agg(F.min("key").alias("key")).select("key", "n"), f"{path}/buckets")
-    members = keys.join(buckets, "key")
-    work = _blocks(members, SIGNATURE_BLOCK).join(classes.select("id", "sig"), "id")
+    buckets = materialize(buckets.groupBy("n", "low", "mark").agg(F.min("key").alias("key")).select("key", "n", "low"), f"{path}/buckets")
+    members = materialize(keys.join(buckets, "key"), f"{path}/members")
+    sigs = classes.select("id", "sig")
+
+    def against(batches):
+        for b in batches:
+            one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((one != two).sum(axis=1) <= DISTANCE))
+
+    firsts = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    firsts = firsts.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
+    joined = components(firsts.select("a", "b", "sa", "sb").mapInArrow(against, "a long, b long"), f"{path}/firsts")
+    members = materialize(members.join(joined, "id", "left").select("key", "n", "id", F.coalesce("comp", "id").alias("node")), f"{path}/nodes")
+    apart = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    work = _blocks(members.join(apart, "key"), SIGNATURE_BLOCK).join(sigs, "id")
     load = lambda c: np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
-    families = components(_linked(work, "sig", load, _near), f"{path}/families")
-    sizes = families.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    members = materialize(_blocks(families.join(sizes, "comp").select(F.col("comp").alias("key"), "n", "id"), TEXT_BLOCK), f"{path}/members")
+    over = components(_linked(work, "sig", load, _near), f"{path}/over").select(F.col("id").alias("node"), F.col("comp").alias("top"))
+    nodes = members.select("id", "node").distinct()
+    families = nodes.join(over, "node", "left").select("id", F.coalesce("top", "node").alias("comp"))
+    families = materialize(families, f"{path}/families")
+    sizes = families.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(_blocks(families.join(sizes, "comp").select(F.col("comp").alias("key"), "n", "id", F.col("id").alias("node")), TEXT_BLOCK), f"{path}/blocks")
     work = members.join(own.withColumnRenamed("doc_id", "id"), "id")
     links = _linked(work, "text", lambda c: [shingles(x) for x in c.to_pylist()], _similar)
     linked = components(links, f"{path}/links")
