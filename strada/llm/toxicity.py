@@ -7,9 +7,10 @@ an exception phrase doesn't count. The text's weight is the sum of the matched w
 of it and of the weight per 100 words (the length norm) is the score.
 
 The lexicon is learned. Of the labelled rows that aren't held out, a bounded sample (POSITIVE and NEGATIVE rows on average,
-by a hash of doc_id) is folded; words in at least LEAST toxic rows with a log odds of at least ODDS are candidates. Words
-that only go along with others are left out by greedy cover: the word that explains the most toxic rows is taken, those
-rows are set aside, and so on while a word explains GAIN rows more. A word's weight is its log odds.
+by a hash of doc_id) is folded; words in at least LEAST toxic rows with a log odds of at least ODDS are candidates, and so
+are stems, the first STEM letters of longer words, which match whatever ends the word. Those that only go along with others
+are left out by greedy cover: the word or stem that explains the most toxic rows is taken, those rows are set aside, and so
+on while one explains GAIN rows more. A weight is a log odds.
 
 Cases. Null text is empty; an empty text has no weight and scores as any text without a match. With no labelled row of
 either kind nothing is learned and the score is 0. Labels repeated for a doc_id count once, toxic if any is. Rows with a
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from strada.llm.common import crc_mod, materialize, prepared, table, work_dir
 
-POSITIVE, NEGATIVE, LEAST, GAIN, ODDS, MOST = 4000, 12_000, 3, 2, 2.5, 5000
+POSITIVE, NEGATIVE, LEAST, GAIN, ODDS, MOST, STEM = 4000, 12_000, 4, 2, 2.5, 5000, 5
 #: Phrases in which a word of the lexicon is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "clownfish", "idiot proof", "idiot-proof", "sore loser rule", "pond scum", "soap scum")
 
@@ -72,15 +73,24 @@ def folded_words(text: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in fold(text)).split()
 
 
+def units_of(text: str) -> list[str]:
+    """The distinct words of a text, and the stems of the longer ones, marked with a star."""
+    words = set(folded_words(text))
+    return sorted(words | {f"{w[:STEM]}*" for w in words if len(w) > STEM})
+
+
 def automaton(lexicon: dict[str, float], exceptions=EXCEPTIONS):
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for w, weight in lexicon.items():
-        a.add_word(w, (len(w), weight))
+        if w[-1] == "*":
+            a.add_word(w[:-1], (len(w) - 1, weight, True))
+        elif f"{w}*" not in lexicon:
+            a.add_word(w, (len(w), weight, False))
     for phrase in exceptions:
-        if (f := fold(phrase)) not in lexicon:
-            a.add_word(f, (len(f), None))
+        if (f := fold(phrase)) not in a:
+            a.add_word(f, (len(f), None, False))
     if len(a):
         a.make_automaton()
     return a
@@ -91,14 +101,18 @@ def weigh(text: str, a) -> float:
     if not len(a):
         return 0.0
     spans, free = [], []
-    for end, (n, weight) in a.iter(text):
+    for end, (n, weight, stem) in a.iter(text):
         lo, hi = end - n + 1, end + 1
-        if hi < len(text) and text[hi] == "s":
+        if not stem and hi < len(text) and text[hi] == "s":
             hi += 1
-        if (lo and text[lo - 1].isalnum()) or (hi < len(text) and text[hi].isalnum()):
+        if (lo and text[lo - 1].isalnum()) or (not stem and hi < len(text) and text[hi].isalnum()):
             continue
         (spans if weight is None else free).append((lo, hi, weight))
-    return sum(w for lo, hi, w in free if not any(p <= lo and hi <= q for p, q, _ in spans))
+    at: dict[int, float] = {}
+    for lo, hi, w in free:  # a word counts once, by its stem or whole
+        if not any(p <= lo and hi <= q for p, q, _ in spans):
+            at[lo] = max(w, at.get(lo, 0.0))
+    return sum(at.values())
 
 
 def features(text: str, a) -> tuple[float, float]:
@@ -131,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, path: str) -> dict:
 
     def words(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(set(folded_words(t))) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([units_of(t) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
     sample = materialize(docs.join(rows, "doc_id").select("doc_id", "toxic", "text"), f"{path}/labelled")
     held = materialize(sample.mapInArrow(words, "doc_id long, toxic int, words array<string>"), f"{path}/words")
@@ -148,7 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, path: str) -> dict:
     lexicon: dict[str, float] = {}
     left = Counter({w: len(d) for w, d in in_rows.items()})
     while left:
-        w, gain = min(left.items(), key=lambda x: (-x[1], x[0]))
+        w, gain = min(left.items(), key=lambda x: (-x[1], x[0][-1] == "*", x[0]))
         if gain < GAIN:
             break
         lexicon[w] = weights[w]

@@ -76,6 +76,8 @@ def test_weights_boundaries_and_exceptions():
     w = lambda t: toxicity.weigh(toxicity.fold(t), a)
     assert (w("such trash!"), w("trashy"), w("the trash can"), w("two Cl0wns"), w("clown trash"), w("retrash"), w("")) == (2.0, 0, 0, 3.0, 5.0, 0, 0)
     assert toxicity.weigh("x", toxicity.automaton({}, ())) == 0
+    stems = toxicity.automaton({"grumb*": 2.0, "grumb": 1.0, "snari": 1.5})
+    assert [toxicity.weigh(t, stems) for t in ("grumbiing", "a grumb x", "agrumb", "snaris snaried")] == [2.0, 2.0, 0, 1.5]
 
 
 def test_toxicity_of_held_out_documents(spark, path):
