@@ -263,14 +263,15 @@ def node_flags(tags: Column) -> Column:
 
 
 def way_meta(way: Column) -> Column:
-    """What is told about a way {way_id, class, surface, flags, max_speed, dim}: names in CamelCase, cm and kg."""
+    """What is told about a way {way_id, class, surface, flags, access, max_speed, dim}: names in CamelCase, cm and kg, 0 for no limit."""
     camel = F.replace(F.initcap(F.replace(way["class"], F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
     flag = lambda b: way["flags"].bitwiseAND(F.lit(b)) != 0
-    limit = lambda x, k: F.when(x > 0, x * k)
+    no = lambda b: way["access"].bitwiseAND(F.lit(b)) == b
     return F.struct(
-        way["way_id"].alias("way_id"), F.when(way["max_speed"] > 0, way["max_speed"]).alias("max_speed"), camel.alias("highway"),
-        F.element_at(literal_map(dict(enumerate(SURFACES))), way["surface"]).alias("surface"), flag(WAY_TOLL).alias("toll"), flag(WAY_TUNNEL).alias("tunnel"), flag(WAY_BRIDGE).alias("bridge"), flag(WAY_ONEWAY).alias("oneway"),
-        limit(way["dim"]["h"], 10).alias("max_height_cm"), limit(way["dim"]["w"], 10).alias("max_width_cm"), limit(way["dim"]["l"], 10).alias("max_length_cm"), limit(way["dim"]["wt"], 250).alias("max_weight_kg"),
+        way["way_id"].alias("id"), way["max_speed"].alias("max_speed"), camel.alias("highway"), F.element_at(literal_map(dict(enumerate(SURFACES))), way["surface"]).alias("surface_quality"),
+        flag(WAY_ONEWAY).alias("oneway"), flag(WAY_TOLL).alias("toll"), flag(WAY_TUNNEL).alias("tunnel"), flag(WAY_BRIDGE).alias("bridge"), (way["class"] == "ferry").alias("ferry"),
+        (way["dim"]["h"] * 10).alias("max_height_cm"), (way["dim"]["w"] * 10).alias("max_width_cm"), (way["dim"]["wt"] * 250).alias("max_weight_kg"),
+        no(NO_MOTOR).alias("no_motor"), no(NO_HGV).alias("no_hgv"), no(NO_BICYCLE).alias("no_bicycle"), no(NO_FOOT).alias("no_foot"),
     )
 
 

@@ -9,6 +9,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 from pyspark.sql import functions as F
 
+from strada.functions import polyline
 from strada.operators import cost
 from strada.operators.search import ALGORITHMS
 from strada.plans import services
@@ -43,6 +44,23 @@ def _all(df, limit: int = 1_000_000) -> list[dict]:
     return [r.asDict(recursive=True) for r in rows]
 
 
+def _duration(ms: int) -> dict:
+    return {"secs": ms // 1000, "nanos": ms % 1000 * 1_000_000}
+
+
+def _bounds(b: dict | None) -> dict | None:
+    return b and {"min": {"lat": b["min_lat"], "lon": b["min_lon"]}, "max": {"lat": b["max_lat"], "lon": b["max_lon"]}}
+
+
+def _told(meta: dict) -> dict:
+    """A description without what is unknown, absent or unlimited."""
+    return {k: v for k, v in meta.items() if v is not None and v is not False and not (v == 0 and k.startswith("max_") and k != "max_speed")}
+
+
+def _location(p: dict) -> dict:
+    return {"lat": p["lat"], "lon": p["lon"], **{k: p[k] for k in ("radius", "id") if p[k] is not None}, **p["extra"]}
+
+
 def info(net: Network, request: dict) -> dict:
     return _all(services.info(net.spark))[0]
 
@@ -54,7 +72,8 @@ def locate(net: Network, request: dict) -> dict:
     found = services.locate(net, at, unit, request.get("with_meta", "None"), _options(request))
     given = files.places(request["locations"])
     rows = sorted(_all(found), key=lambda r: r["loc"])
-    return _head(request) | {"locations": [{**g["extra"], **({"id": g["id"]} if g["id"] is not None else {}), **{k: v for k, v in r.items() if v is not None and k not in ("loc", "id", "extra", "radius_m")}} for g, r in zip(given, rows, strict=True)]}
+    shown = lambda k, v: _told(v) if k in ("way_meta", "edge_meta") else polyline.encode_points((q["lat"], q["lon"]) for q in v) if k == "meta_points" else v
+    return _head(request) | {"locations": [_location(g) | {k: shown(k, v) for k, v in r.items() if v is not None and k not in ("loc", "id", "extra", "radius_m")} for g, r in zip(given, rows, strict=True)]}
 
 
 def matrix(net: Network, request: dict) -> dict:
@@ -73,7 +92,9 @@ def matrix(net: Network, request: dict) -> dict:
     per = 1609.344 if unit == "mi" else 1000.0
     rows = _all(found.select("from", "to", F.col("duration_ms").alias("duration"), (F.col("length_m") / per).alias("length")))
     place = {p: k for k, p in enumerate(pairs)}
-    return _head(request) | {"result": sorted(rows, key=lambda r: (place.get((r["from"], r["to"]), 0), r["from"], r["to"]))}
+    rows.sort(key=lambda r: (place.get((r["from"], r["to"]), 0), r["from"], r["to"]))
+    ends = {"from": request.get("locations", request.get("from")), "to": request.get("locations", request.get("to"))}
+    return _head(request) | {k: [_location(p) for p in files.places(v)] for k, v in ends.items()} | {"result": [r | {"duration": _duration(r["duration"])} for r in rows]}
 
 
 def route(net: Network, request: dict) -> dict:
@@ -83,10 +104,11 @@ def route(net: Network, request: dict) -> dict:
         raise InvalidRequest("a route needs two locations")
     stops = stops.select(F.lit(0).cast("long").alias("trip"), F.col("loc").alias("pos"), "loc", "lat", "lon")
     legs = sorted(_all(services.route(net, stops, _options(request), bool(request.get("with_path", True)))), key=lambda r: r["leg"])
-    out = [{"duration": r["duration_ms"], "length": r["length_m"], "bounds": r["bounds"], **({"path": r["path"]} if r["path"] else {})} for r in legs]
-    b = [r["bounds"] for r in out]
+    out = [{"duration": _duration(r["duration_ms"]), "length": r["length_m"], "bounds": _bounds(r["bounds"]), **({"path": r["path"]} if r["path"] else {})} for r in legs]
+    b = [r["bounds"] for r in legs]
     bounds = {k: (min if k.startswith("min") else max)(x[k] for x in b) for k in b[0]} if b else None
-    return _head(request) | {"duration": sum(r["duration"] for r in out), "length": sum(r["length"] for r in out), "bounds": bounds, "legs": out}
+    at = [_location(p) for p in files.places(request["locations"])]
+    return _head(request) | {"locations": at, "duration": _duration(sum(r["duration_ms"] for r in legs)), "length": sum(r["length_m"] for r in legs), "bounds": _bounds(bounds), "legs": out}
 
 
 def isochrone(net: Network, request: dict) -> dict:
@@ -103,7 +125,8 @@ def isochrone(net: Network, request: dict) -> dict:
 
 def inspect(net: Network, request: dict) -> dict:
     _need(request, "way_id")
-    return _all(services.inspect(net, int(request["way_id"])))[0]
+    found = _all(services.inspect(net, int(request["way_id"])))[0]
+    return {"points": found["path"], "way": _told(found["way_meta"])}
 
 
 ENDPOINTS = {"info": info, "locate": locate, "route": route, "inspect": inspect, "matrix": matrix, "isochrone": isochrone}

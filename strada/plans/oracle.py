@@ -166,7 +166,17 @@ def _morton(x: str, top: str) -> str:
     return f"{_whole(f'{x} * 2147483647.0::DOUBLE')}"
 
 
+_COUNTRY = """
+bb AS (SELECT max(lat) AS y, max(lon) AS x, min(lat) AS a, min(lon) AS b FROM nodes),
+bl AS (SELECT n.id, n.lat, n.lon, y, a, b, (b+x)/2 + (n.lat-(a-0.05)) / ((y+0.05)-(a-0.05)) * ((b*3+x)/4 - (b+x)/2) AS line FROM nodes n, bb),
+cn AS (SELECT id, CASE WHEN lon > line AND lat < y-0.01 THEN 'AT' WHEN lon < line AND NOT (lat > a+0.003 AND lon < b+0.007 AND lat-a < lon-b) THEN 'DE' END AS country FROM bl)"""
+
 ORACLES = {
+    "country_lookup": _with("SELECT id, country FROM cn", _COUNTRY),
+    "traversal_with_countries": _with(
+        f"SELECT en_id, country, speed, {_ms('car', 'dist_m')} AS cost FROM s1 WHERE speed IS NOT NULL",
+        f"{_COUNTRY}, s0 AS (SELECT e.*, c.country, flags & 2 <> 0 AS toll, CASE WHEN c.country IS NULL THEN NULL WHEN class='tertiary' THEN 45 WHEN c.country='DE' AND class='residential' THEN 25 WHEN class='track' THEN CASE c.country WHEN 'DE' THEN 15 ELSE 12 END WHEN c.country='AT' AND class='primary' THEN 77 END AS o FROM en e JOIN cn c ON c.id=e.from_node), s1 AS (SELECT *, {_speed('car', 'o')} AS speed FROM s0)",
+    ),
     "haversine_edges": _with(f"SELECT way_id, pos, d AS metres, round({_bearing('plat', 'plon', 'lat', 'lon')}, 5) AS bearing FROM r2 WHERE plat IS NOT NULL"),
     "distance_to_box": _with(f"SELECT loc, {_whole(_hav('lat', 'lon', 'greatest(y0, least(y1, lat))', 'greatest(x0, least(x1, lon))'))} AS metres FROM locs, (SELECT a+(b-a)/4 AS y0, b-(b-a)/4 AS y1, c+(e-c)/4 AS x0, e-(e-c)/4 AS x1 FROM (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS e FROM nodes))"),
     "morton_order": _with("""SELECT id, CAST(list_sum(list_transform(range(0, 31), lambda i: ((x >> i) & 1::BIGINT) * pow(2::DOUBLE, 2*i)::BIGINT + ((y >> i) & 1::BIGINT) * pow(2::DOUBLE, 2*i+1)::BIGINT)) AS BIGINT) AS morton

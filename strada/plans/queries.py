@@ -244,7 +244,7 @@ def nearest_node(s, d):
 
 def locate_meta(s, d):
     out = services.locate(net(s, d), derived.locations(s, d), "km", "FullEdge")
-    return out.select("loc", _r("distance", 5).alias("distance_km"), F.col("way_meta.way_id").alias("way_id"), F.col("way_meta.highway").alias("highway"), F.col("edge_meta.dist_m").alias("dist_m"), F.size("meta_points").cast("long").alias("n_points"))
+    return out.select("loc", _r("distance", 5).alias("distance_km"), F.col("way_meta.id").alias("way_id"), F.col("way_meta.highway").alias("highway"), F.col("edge_meta.dist_m").alias("dist_m"), F.size("meta_points").cast("long").alias("n_points"))
 
 
 # --- searches ---------------------------------------------------------------------------------------------------------
@@ -311,7 +311,7 @@ def network_hull(s, d):
 
 def inspect_way(s, d):
     out = services.inspect(net(s, d), 1000)
-    return out.select("way_id", F.col("way_meta.highway").alias("highway"), F.col("way_meta.surface").alias("surface"), F.col("way_meta.toll").alias("toll"), F.col("way_meta.oneway").alias("oneway"), "path")
+    return out.select("way_id", F.col("way_meta.highway").alias("highway"), F.col("way_meta.surface_quality").alias("surface"), F.col("way_meta.toll").alias("toll"), F.col("way_meta.oneway").alias("oneway"), "path")
 
 
 def info(s, d):

@@ -22,6 +22,11 @@ from strada.steps import materialize, work_dir
 VERSION = "0.1.0"
 
 
+# fixed values: the kinds of manoeuvre that a leg may list, and their directions; none is made yet
+MANEUVERS = ("Start", "Destination", "Continue", "Turn", "SlightTurn", "SharpTurn", "UTurn", "Ramp", "Exit", "Stay", "Merge", "RoundaboutEnter", "RoundaboutExit", "FerryEnter", "FerryExit")
+DIRECTIONS = ("Straight", "Left", "Right")
+
+
 class InvalidRequest(ValueError):
     status = 400
 
@@ -235,7 +240,7 @@ def locate(net: Network, locations: DataFrame, unit: str = "km", with_meta: str
     """(loc, lat, lon, distance, and by with_meta edge_meta, way_meta, points) of the nearest segment, the smallest en_id of ties.
 
     A location without a segment within its radius comes back as it was. with_meta: None, Light (the segment's two ends),
-    FullEdge (all its points) or FullWay (all the way's points, from_node and to_node telling the segment's part).
+    FullEdge (all its points) or FullWay (all the way's points, from_node_idx and to_node_idx telling the segment's part).
     """
     if with_meta not in ("None", "Light", "FullEdge", "FullWay"):
         raise InvalidRequest(f"unknown detail: {with_meta}")
@@ -247,7 +252,7 @@ def locate(net: Network, locations: DataFrame, unit: str = "km", with_meta: str
     if with_meta == "None":
         return out.drop("en_id", "fraction", "distance_m")
     country = F.col("country") if "country" in net.edges.columns else F.lit(None).cast("string")
-    way = F.struct("way_id", "class", "surface", "flags", "max_speed", "dim")
+    way = F.struct("way_id", "class", "surface", "flags", "access", "max_speed", "dim")
     e = net.edges.select("en_id", "dir", "points", F.col("p0").alias("e_p0"), F.col("p1").alias("e_p1"), "dist_m", country.alias("e_country"), F.col("way_id").alias("e_way"), T.way_meta(way).alias("way_meta"))
     out = out.join(e, "en_id", "left")
     if with_meta == "FullWay":
@@ -258,7 +263,7 @@ def locate(net: Network, locations: DataFrame, unit: str = "km", with_meta: str
         light = F.array(F.get("points", F.lit(0)), F.element_at("points", -1))
         out = out.withColumn("meta_points", light if with_meta == "Light" else F.col("points"))
         a, b = F.lit(0), F.size("meta_points") - 1
-    meta = F.when(F.col("en_id").isNotNull(), F.struct(F.col("e_country").alias("country"), "dist_m", a.cast("int").alias("from_node"), b.cast("int").alias("to_node")))
+    meta = F.when(F.col("en_id").isNotNull(), F.struct(F.col("e_country").alias("country_id"), "dist_m", a.cast("int").alias("from_node_idx"), b.cast("int").alias("to_node_idx")))
     return out.withColumn("edge_meta", meta).select("loc", "lat", "lon", "distance", "way_meta", "edge_meta", "meta_points")
 
 
@@ -269,7 +274,7 @@ def inspect(net: Network, way_id: int) -> DataFrame:
     parts = net.edges.where(F.col("way_id") == way_id).withColumn("line", F.when(F.col("dir") == 1, F.col("points")).otherwise(F.reverse("points")))
     parts = parts.groupBy("way_id", "p0").agg(F.first("line").alias("line")).groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("p0", "line"))).alias("parts"))
     line = _without_repeats(F.flatten(F.transform("parts", lambda x: x["line"])))
-    out = forward.join(parts, "way_id").select("way_id", T.way_meta(F.struct("way_id", "class", "surface", "flags", "max_speed", "dim")).alias("way_meta"), polyline.encode(line).alias("path"))
+    out = forward.join(parts, "way_id").select("way_id", T.way_meta(F.struct("way_id", "class", "surface", "flags", "access", "max_speed", "dim")).alias("way_meta"), polyline.encode(line).alias("path"))
     if out.limit(1).count() == 0:
         raise InvalidRequest(f"unknown way: {way_id}")
     return out

@@ -144,7 +144,7 @@ def test_isochrones(spark, net):
 def test_locate_and_inspect(spark, net):
     at = _places(spark, (48.0001, 11.0025), (0.0, 0.0))
     got = {r["loc"]: r for r in services.locate(net, at, "mi", "Light").collect()}
-    assert got[0]["way_meta"]["way_id"] == 100 and got[0]["way_meta"]["highway"] == "Primary" and len(got[0]["meta_points"]) == 2 and abs(got[0]["distance"] - 11.119 / 1609.344) < 1e-5
+    assert got[0]["way_meta"]["id"] == 100 and got[0]["way_meta"]["highway"] == "Primary" and len(got[0]["meta_points"]) == 2 and abs(got[0]["distance"] - 11.119 / 1609.344) < 1e-5
     assert got[1]["distance"] is None and (got[1]["lat"], got[1]["lon"]) == (0.0, 0.0) and got[1]["way_meta"] is None
     whole = services.locate(net, at, "km", "FullWay").where("loc = 0").first()
     assert len(whole["meta_points"]) == 4
@@ -225,7 +225,7 @@ def test_requests_and_problems(net):
     status, out = ask("locate", locations=[a, {"lat": 0, "lon": 0}], with_meta="FullEdge")
     assert status == 200 and out["locations"][0]["id"] == "x" and "distance" not in out["locations"][1]
     assert ask("isochrone", lat=48.0, lon=11.0025, ranges=[1.5])[0] == 200
-    assert ask("inspect", way_id=100)[0] == 200
+    assert ask("inspect", way_id=100) == (200, {"points": polyline.encode_points([x[1:3] for x in NODES[:4]]), "way": {"id": 100, "max_speed": 0, "highway": "Primary", "surface_quality": "Unknown"}})
     for kind, request, code in [("inspect", {"way_id": 1}, 400), ("route", {"locations": [a]}, 400), ("route", {}, 400), ("matrix", {"locations": [a], "pairs": [[0, 5]]}, 400), ("route", {"locations": [a, b], "profile": "tank"}, 404), ("isochrone", {"lat": 0, "lon": 0, "ranges": [1]}, 404), ("isochrone", {"lat": 48.0, "lon": 11.0, "ranges": [-1]}, 400), ("nothing", {}, 404)]:
         status, out = ask(kind, **request)
         assert (status, out["status"]) == (code, code), (kind, request)
@@ -247,3 +247,13 @@ def test_server(net):
 def test_the_open_api_command(capsys):
     assert api.main(["open-api"]) == 0
     assert json.loads(capsys.readouterr().out)["openapi"] == "3.1.0"
+
+
+def test_a_stream_is_snapped(spark, net, tmp_path):
+    from strada.streaming.snapping import snap_stream
+
+    at = _places(spark, (48.0001, 11.0025), (0.0, 0.0))
+    at.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(at.schema).parquet(str(tmp_path / "in"))
+    snap_stream(stream, net, f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
+    assert {r["loc"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {0}
