@@ -3,13 +3,15 @@
 A document's set holds its distinct 5-word shingles (64-bit hashes of them). Its signature has SYMBOLS b-bit symbols, each
 from one minhash. The signature is split into CHUNKS chunks; by the pigeonhole principle two signatures that differ in at
 most DISTANCE = CHUNKS * (ERRORS + 1) - 1 symbols have a chunk that differs in at most ERRORS symbols, so enumerating the
-chunk with each ERRORS symbols left out gives them an equal key: every pair under the distance threshold meets. Two sets
-with a similarity of 0.75 differ in 16 of the 64 symbols on average, with a deviation of 3.5; 32 differ in 2 of 100,000.
+chunk with each ERRORS symbols left out gives them an equal key: every pair within the distance meets. Most pairs farther
+apart meet too; those that do are kept up to KEPT symbols. Two sets with a similarity of 0.75 differ in 24 of the 96 symbols
+on average, with a deviation of 4.2; they don't meet, or differ in more than KEPT, in about 1 of 100,000 cases, and sets
+with a similarity of 0.8 in 1 of 20 million. Five symbols to a key keep unlike texts that share a passage apart.
 
 1. Documents with equal sets form a class, whose smallest doc_id stands for it: copies are gone before any pairing.
 2. Keys are exploded as (key, id); buckets of more than one member are kept, and of buckets with equal members one.
-3. Each member is compared with its buckets' smallest members, once for each such pair: links at or below the distance
-   threshold join most of a large bucket in one row per member. Buckets whose members are joined by now are done.
+3. Each member is compared with its buckets' smallest members, once for each such pair: links of at most KEPT
+   symbols join most of a large bucket in one row per member. Buckets whose members are joined by now are done.
 4. The other buckets are cut into blocks; each pair of blocks is one unit of work on signatures, which compares what isn't
    joined yet and yields a spanning forest of the components it links, never all pairs.
 5. The components of both are families. Families are cut into blocks again, and each pair of blocks is compared on the
@@ -37,14 +39,15 @@ from pyspark.sql import functions as F
 from strada.llm.common import materialize, prepared, table, work_dir
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-CHUNKS, CHUNK, ERRORS = 16, 4, 1
-SYMBOLS, DISTANCE = CHUNKS * CHUNK, CHUNKS * (ERRORS + 1) - 1
+CHUNKS, CHUNK, ERRORS = 16, 6, 1
+SYMBOLS, DISTANCE, KEPT = CHUNKS * CHUNK, CHUNKS * (ERRORS + 1) - 1, 44
 #: Signatures and texts in a block; a unit of work has two.
 SIGNATURE_BLOCK, TEXT_BLOCK = 1024, 256
 
 _RNG = np.random.RandomState(20_250_101)
 _SALT = _RNG.randint(0, 2**31, SYMBOLS).astype(np.uint32)
 _FACTOR = (_RNG.randint(0, 2**31, SYMBOLS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
+_ODD = _RNG.randint(0, 2**62, CHUNK).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -76,13 +79,15 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """(n, CHUNKS * CHUNK) int64: each chunk with each one of its symbols left out, exact, not hashed."""
-    s = sig.astype(np.int64).reshape(-1, CHUNKS, CHUNK)
-    keys = np.empty(s.shape, dtype=np.int64)
+    """(n, CHUNKS * CHUNK) int64: a hash of each chunk with each one of its symbols left out."""
+    s = sig.astype(np.uint64).reshape(-1, CHUNKS, CHUNK) + np.uint64(1)
+    keys = np.empty(s.shape, dtype=np.uint64)
+    whole = (s * _ODD).sum(axis=2, dtype=np.uint64)
     for p in range(CHUNK):
-        a, b, c = (s[:, :, q] for q in range(CHUNK) if q != p)
-        keys[:, :, p] = (a << 32 | b << 16 | c) | (np.arange(CHUNKS, dtype=np.int64) * CHUNK + p) << 48
-    return keys.reshape(len(sig), -1)
+        h = whole - s[:, :, p] * _ODD[p] + (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(p)) * _PLACE[4]
+        h = (h ^ (h >> np.uint64(29))) * _PLACE[1]
+        keys[:, :, p] = h ^ (h >> np.uint64(32))
+    return keys.view(np.int64).reshape(len(sig), -1)
 
 
 def prints(docs: DataFrame) -> DataFrame:
@@ -156,7 +161,7 @@ def _near(sig: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         far = np.zeros((min(step, len(sig) - lo), len(other)), dtype=np.uint8)
         for k in range(SYMBOLS):
             far += sig[lo : lo + step, k, None] != other[None, :, k]
-        x, y = np.nonzero(far <= DISTANCE)
+        x, y = np.nonzero(far <= KEPT)
         a.append(x + lo)
         b.append(y)
     return np.concatenate(a), np.concatenate(b)
@@ -257,7 +262,7 @@ def near_dedup(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def against(batches):
         for b in batches:
             one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((one != two).sum(axis=1) <= DISTANCE))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((one != two).sum(axis=1) <= KEPT))
 
     firsts = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     firsts = firsts.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
