@@ -24,6 +24,8 @@ from strada.llm.common import materialize, prepared, table, work_dir
 from strada.llm.tokens import encoder, resolve
 
 LENGTH = 2048
+#: Partitions whose offsets are broadcast.
+BROADCAST = 500_000
 
 
 def encoded(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str, text: str) -> DataFrame:
@@ -76,6 +78,8 @@ def pack(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, length: in
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_to"])
 
     bases = spark.createDataFrame(firsts, "part long, first long")
+    if len(firsts) <= BROADCAST:  # 16 bytes a partition; beyond, the ids are shuffled by part
+        bases = F.broadcast(bases)
     placed = own.join(bases, "part").select("doc_id", (F.col("first") + F.col("before")).alias("first"), "n", "ids")
     return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long")
 
