@@ -260,7 +260,7 @@ def locate(net: Network, locations: DataFrame, unit: str = "km", with_meta: str
         out = out.join(whole, "e_way", "left").withColumn("meta_points", F.coalesce(_without_repeats(F.flatten(F.transform("parts", lambda x: x["points"]))), F.col("points"))).drop("parts")
         a, b = F.when(F.col("dir") == 1, F.col("e_p0")).otherwise(F.col("e_p1")), F.when(F.col("dir") == 1, F.col("e_p1")).otherwise(F.col("e_p0"))
     else:
-        light = F.array(F.get("points", F.lit(0)), F.element_at("points", -1))
+        light = F.when(F.col("points").isNotNull(), F.array(F.get("points", F.lit(0)), F.element_at("points", -1)))
         out = out.withColumn("meta_points", light if with_meta == "Light" else F.col("points"))
         a, b = F.lit(0), F.size("meta_points") - 1
     meta = F.when(F.col("en_id").isNotNull(), F.struct(F.col("e_country").alias("country_id"), "dist_m", a.cast("int").alias("from_node_idx"), b.cast("int").alias("to_node_idx")))

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strada.steps import ship
+
 SCHEMAS = {
     "node": "id long, lat double, lon double, tags map<string,string>",
     "way": "id long, node_refs array<long>, tags map<string,string>",
@@ -199,6 +201,7 @@ class OsmPbf(DataSource):
 
 
 def register(spark) -> None:
+    ship(spark)
     spark.dataSource.register(OsmPbf)
 
 
