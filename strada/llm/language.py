@@ -22,13 +22,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strada.llm.common import crc_mod, prepared, table, work_dir
 
-PER_LANGUAGE, NGRAMS, PENALTY, ROUNDS, REMEMBERED = 1500, 40_000, 2.0, 12, 200_000
+PER_LANGUAGE, NGRAMS, PENALTY, ROUNDS, FEWER = 1500, 40_000, 2.0, 12, 4
+#: Letters with a number of their own, and characters of the texts that are taken together.
+LETTERS, TOGETHER = 200, 4_000_000
 #: Of the letter, the bigram and the trigram in a letter's probability.
 WEIGHTS = (0.1, 0.3, 0.6)
 #: Languages told apart at most, the most frequent in the training rows.
@@ -86,46 +89,49 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE, keep: int = NGRAMS)
     return {"langs": langs, "p": {g: x.tolist() for g, x in logp.items()}, "floors": [f.tolist() for f in floors]}
 
 
-class Words(dict):
-    """For a token, its row in the table of likelihoods; row 0 stands for tokens without letters."""
+class Likelihoods:
+    """The likelihoods of words in each language, computed for the distinct words of some texts at once.
+
+    Letters become numbers, 0 standing for whatever is no letter and for a word's ends; a table over three numbers says
+    which n-gram's probability a letter has after the two before it: the trigram's, or where that wasn't kept, its last
+    bigram's or letter's. Letters beyond the LETTERS most frequent ones share a number that no n-gram has.
+    """
 
     def __init__(self, model: dict):
-        super().__init__()
-        self.place, self.logs = self._logs(model)
-        self.rows = np.ones((1024, len(model["langs"])))
-        self.n = 1
-
-    @staticmethod
-    def _logs(model: dict) -> tuple[dict[str, int], np.ndarray]:
-        """For each n-gram kept, the log probability of its last letter after the others; of a trigram that wasn't kept, its last bigram's or letter's."""
         p = {g: np.array(x) for g, x in model["p"].items()}
         floors = [np.array(f) for f in model["floors"]]
-        place, logs = {"": 0}, [np.log(sum(w * f for w, f in zip(WEIGHTS, floors, strict=True)))]
-        for g in p:
-            place[g] = len(logs)
-            logs.append(np.log(sum(w * (p.get(g[-n:], floors[n - 1]) if n <= len(g) else floors[n - 1]) for n, w in enumerate(WEIGHTS, 1))))
-        return place, np.array(logs)
-
-    def _log(self, word: str) -> np.ndarray:
-        w, get = f"^{word}$", self.place.get
-        at = [get(w[i : i + 3]) or get(w[i + 1 : i + 3]) or get(w[i + 2]) or 0 for i in range(len(w) - 2)]
-        return self.logs[at].sum(axis=0)
-
-    def __missing__(self, token: str) -> int:
-        parts = words_of(token)
-        at = 0
-        if parts:
-            if self.n == len(self.rows):
-                self.rows = np.vstack([self.rows, np.ones_like(self.rows)])
-            log = sum(self._log(p) for p in parts)
-            at, self.n = self.n, self.n + 1
-            self.rows[at] = np.exp(np.maximum(log - log.max(), -WORD_LIMIT))
-        self[token] = at
-        return at
-
-    def forget(self) -> None:
-        self.clear()
-        self.n = 1
+        often = sorted((g for g in p if len(g) == 1 and g.isalpha()), key=lambda g: (-p[g].max(), g))[:LETTERS]
+        self.number = {c: k + 1 for k, c in enumerate(often)}
+        self.size = len(often) + 2
+        code = lambda g: [0 if c in "^$" else self.number.get(c) for c in g]
+        logs, place = [np.log(sum(w * f for w, f in zip(WEIGHTS, floors, strict=True)))], np.zeros((self.size,) * 3, dtype=np.int32)
+        for n in (1, 2, 3):  # the longer ones take the place of the shorter
+            for g in (g for g in p if len(g) == n):
+                at = code(g)
+                if None not in at and "^" not in g[1:] and "$" not in g[:-1]:
+                    place[(..., *at)] = len(logs)
+                    logs.append(np.log(sum(w * (p.get(g[-m:], floors[m - 1]) if m <= n else floors[m - 1]) for m, w in enumerate(WEIGHTS, 1))))
+        self.place, self.logs = place.ravel(), np.array(logs, dtype=np.float32)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(likelihoods, whether the word has a letter); a word may hold other characters, which part it."""
+        rows, known, at = np.ones((len(words), self.logs.shape[1])), np.zeros(len(words), dtype=bool), 0
+        while at < len(words):
+            size, begin = 0, at
+            while at < len(words) and size < 500_000:
+                size += len(words[at]) + 1
+                at += 1
+            text = " " + " ".join(words[begin:at]) + "  "
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            kinds, which = np.unique(points, return_inverse=True)
+            letters = np.array([(self.number.get(c, self.size - 1) if (c := chr(k)).isalpha() else 0) for k in kinds.tolist()], dtype=np.int64)[which]
+            starts = np.cumsum([0, *(len(w) + 1 for w in words[begin : at - 1])])  # where each word's space stands
+            got = self.logs[self.place[(letters[:-2] * self.size + letters[1:-1]) * self.size + letters[2:]]]
+            got[letters[1:-1] == 0] = 0  # no word is led on from the one before
+            total = np.add.reduceat(got, starts, axis=0)
+            rows[begin:at] = np.exp(np.maximum(total - total.max(axis=1, keepdims=True), -WORD_LIMIT))
+            known[begin:at] = np.add.reduceat((letters[1:] > 0).astype(np.int64), starts) > 0
+        return rows, known
 
 
 def _mixture(p: np.ndarray, n: np.ndarray, total: float, share: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -144,7 +150,7 @@ def infer(p: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> tuple[list[
         least = len(langs) - 1 - least
         fewer = langs[:least] + langs[least + 1 :]
         start = np.delete(share, least) + 1e-9
-        new_share, new_like = _mixture(p[:, fewer], n, total, start / start.sum(), ROUNDS if len(fewer) > 1 else 0)
+        new_share, new_like = _mixture(p[:, fewer], n, total, start / start.sum(), FEWER if len(fewer) > 1 else 0)
         if like - new_like > cost:
             break
         langs, share, like = fewer, new_share, new_like
@@ -153,27 +159,35 @@ def infer(p: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> tuple[list[
     return langs, share, like - float(single.max())
 
 
-def predict(held: Words, langs: list[str], texts: list) -> tuple[list[str], list[float], list[list[str]]]:
+def predict(held: Likelihoods, langs: list[str], texts: list) -> tuple[list[str], list[float], list[list[str]]]:
     """For each text the prediction, its score and the chosen set, the largest share first."""
-    names, scores, sets = [], [], []
-    for t in texts:
-        if held.n > REMEMBERED:
-            held.forget()
-        tokens = (t or "").lower().split()
-        at = np.fromiter(map(held.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        seen, n = np.unique(at, return_counts=True)
-        if len(seen) and seen[0] == 0:
-            seen, n = seen[1:], n[1:]
-        if not len(seen):
-            names.append("und")
-            scores.append(0.0)
-            sets.append([])
-            continue
-        chosen, share, ahead = infer(held.rows[seen], n.astype(np.float64))
-        best = int(np.argmax(share))
-        names.append(langs[chosen[best]])
-        scores.append(float(min(1.0, share[best] / share.sum()) / (1.0 + math.exp(-min(50.0, max(-50.0, ahead))))))
-        sets.append([langs[chosen[k]] for k in np.argsort(-share, kind="stable")])
+    names: list[str] = []
+    scores: list[float] = []
+    sets: list[list[str]] = []
+    at = 0
+    while at < len(texts):
+        some, size = [], 0
+        while at < len(texts) and size < TOGETHER:
+            some.append((texts[at] or "").lower())
+            size += len(some[-1])
+            at += 1
+        lists = pc.split_pattern(pc.replace_substring(pa.array(some, pa.large_string()), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        rows, known = held.of(coded.dictionary.to_pylist())
+        index, edges = coded.indices.to_numpy(), np.asarray(lists.offsets)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            seen, n = np.unique(index[lo:hi], return_counts=True)
+            own = known[seen]
+            if not own.any():
+                names.append("und")
+                scores.append(0.0)
+                sets.append([])
+                continue
+            chosen, share, ahead = infer(rows[seen[own]], n[own].astype(np.float64))
+            best = int(np.argmax(share))
+            names.append(langs[chosen[best]])
+            scores.append(float(min(1.0, share[best] / share.sum()) / (1.0 + math.exp(-min(50.0, max(-50.0, ahead))))))
+            sets.append([langs[chosen[k]] for k in np.argsort(-share, kind="stable")])
     return names, scores, sets
 
 
@@ -187,7 +201,7 @@ def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "tex
     sent = spark.sparkContext.broadcast(model)  # at most NGRAMS n-grams a language
 
     def run(batches):
-        held = Words(sent.value)
+        held = Likelihoods(sent.value)
         for b in batches:
             names, scores, sets = predict(held, langs, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string()))], ["doc_id", "lang_pred", "score", "langs"])
@@ -213,7 +227,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        held = Words(sent.value)
+        held = Likelihoods(sent.value)
         for b in batches:
             found, _, _ = predict(held, langs, b.column(names.index("text")).to_pylist())
             columns = list(b.columns)
