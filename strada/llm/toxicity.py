@@ -147,7 +147,8 @@ def learn(docs: DataFrame, labels: DataFrame, path: str) -> dict:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([units_of(t) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
 
-    sample = materialize(docs.join(rows, "doc_id").select("doc_id", "toxic", "text"), f"{path}/labelled")
+    # the sampled ids are broadcast: POSITIVE + NEGATIVE short rows on average, so that no text is shuffled
+    sample = materialize(docs.join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "text"), f"{path}/labelled")
     held = materialize(sample.mapInArrow(words, "doc_id long, toxic int, words array<string>"), f"{path}/words")
     n = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
