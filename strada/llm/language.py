@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strada.llm.common import crc_mod, prepared, table, work_dir
 
 PER_LANGUAGE, NGRAMS, PENALTY, ROUNDS, FEWER = 1500, 40_000, 2.0, 12, 4
-#: Letters with a number of their own, and characters of the texts that are taken together.
+#: Letters whose n-grams have a dense table (those of others are searched), and characters of the texts that are taken together.
 LETTERS, TOGETHER = 200, 4_000_000
 #: Of the letter, the bigram and the trigram in a letter's probability.
 WEIGHTS = (0.1, 0.3, 0.6)
@@ -92,27 +92,60 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE, keep: int = NGRAMS)
 class Likelihoods:
     """The likelihoods of words in each language, computed for the distinct words of some texts at once.
 
-    Letters become numbers, 0 standing for whatever is no letter and for a word's ends; a table over three numbers says
-    which n-gram's probability a letter has after the two before it: the trigram's, or where that wasn't kept, its last
-    bigram's or letter's. Letters beyond the LETTERS most frequent ones share a number that no n-gram has.
+    Letters become numbers, 0 standing for whatever is no letter and for a word's ends, the last for letters that no n-gram
+    has. A letter has the probability of the n-gram that ends in it: the trigram's, or where that wasn't kept, its last
+    bigram's or letter's. Of the LETTERS most frequent letters a table over three numbers says which n-gram that is; of
+    three that hold another letter, a search among the n-grams' sorted codes.
     """
 
     def __init__(self, model: dict):
         p = {g: np.array(x) for g, x in model["p"].items()}
         floors = [np.array(f) for f in model["floors"]]
-        often = sorted((g for g in p if len(g) == 1 and g.isalpha()), key=lambda g: (-p[g].max(), g))[:LETTERS]
+        often = sorted({c for g in p for c in g if c.isalpha()}, key=lambda c: (-p[c].max() if c in p else 0.0, c))
         self.number = {c: k + 1 for k, c in enumerate(often)}
-        self.size = len(often) + 2
-        code = lambda g: [0 if c in "^$" else self.number.get(c) for c in g]
-        logs, place = [np.log(sum(w * f for w, f in zip(WEIGHTS, floors, strict=True)))], np.zeros((self.size,) * 3, dtype=np.int32)
+        self.size, self.near = len(often) + 2, min(len(often), LETTERS) + 1
+        logs, place = [np.log(sum(w * f for w, f in zip(WEIGHTS, floors, strict=True)))], np.zeros((self.near,) * 3, dtype=np.int32)
+        self.sorted = []
         for n in (1, 2, 3):  # the longer ones take the place of the shorter
+            codes = {}
             for g in (g for g in p if len(g) == n):
-                at = code(g)
-                if None not in at and "^" not in g[1:] and "$" not in g[:-1]:
-                    place[(..., *at)] = len(logs)
+                if "^" not in g[1:] and "$" not in g[:-1]:
+                    at = [self.number.get(c, 0) for c in g]
+                    codes[self._code(at)] = len(logs)
+                    if max(at) < self.near:
+                        place[(..., *at)] = len(logs)
                     logs.append(np.log(sum(w * (p.get(g[-m:], floors[m - 1]) if m <= n else floors[m - 1]) for m, w in enumerate(WEIGHTS, 1))))
+            keys = np.array(list(codes), dtype=np.int64)
+            order = np.argsort(keys)
+            self.sorted.append((keys[order], np.array(list(codes.values()), dtype=np.int32)[order]))
         self.place, self.logs = place.ravel(), np.array(logs, dtype=np.float32)
 
+    def _code(self, at):
+        """One number for up to three; below 2^63, as there are fewer than 2^21 characters."""
+        code = 0
+        for x in at:
+            code = code * self.size + x
+        return code
+
+    def _places(self, letters: np.ndarray) -> np.ndarray:
+        """For each three letters in a row, the place in logs of the longest n-gram kept that ends them."""
+        three = letters[:-2], letters[1:-1], letters[2:]
+        far = np.maximum(np.maximum(three[0], three[1]), three[2]) >= self.near
+        if not far.any():
+            return self.place[(three[0] * self.near + three[1]) * self.near + three[2]]
+        a, b, c = (x[~far] for x in three)
+        out = np.zeros(len(far), dtype=np.int32)
+        out[~far] = self.place[(a * self.near + b) * self.near + c]
+        three = [x[far] for x in three]
+        found = np.zeros(len(three[0]), dtype=np.int32)
+        for n, (keys, places) in enumerate(self.sorted, 1):
+            if len(keys):
+                code = self._code(three[3 - n :])
+                k = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+                found = np.where(keys[k] == code, places[k], found)
+        out[far] = found
+        return out
+
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(likelihoods, whether the word has a letter); a word may hold other characters, which part it."""
         rows, known, at = np.ones((len(words), self.logs.shape[1])), np.zeros(len(words), dtype=bool), 0
@@ -126,7 +159,7 @@ class Likelihoods:
             kinds, which = np.unique(points, return_inverse=True)
             letters = np.array([(self.number.get(c, self.size - 1) if (c := chr(k)).isalpha() else 0) for k in kinds.tolist()], dtype=np.int64)[which]
             starts = np.cumsum([0, *(len(w) + 1 for w in words[begin : at - 1])])  # where each word's space stands
-            got = self.logs[self.place[(letters[:-2] * self.size + letters[1:-1]) * self.size + letters[2:]]]
+            got = self.logs[self._places(letters)]
             got[letters[1:-1] == 0] = 0  # no word is led on from the one before
             total = np.add.reduceat(got, starts, axis=0)
             rows[begin:at] = np.exp(np.maximum(total - total.max(axis=1, keepdims=True), -WORD_LIMIT))

@@ -148,3 +148,24 @@ def test_viterbi_finds_the_best_sequence():
 @pytest.mark.parametrize("page", ["<", "<p", "a < b and c > d", "<p>x</b></i></p>", "<div><div><p>deep", "&#x41;&bogus;&am", "<b><p>in</b> out", "<!-- never closed <p>x", "<script>never closed", "<a href='never closed>x</a><p>y", "<p>" * 3000 + "x"])
 def test_broken_pages_are_read(page):
     assert isinstance(html_text.extract(page, html_text.field()), str)
+
+
+def test_likelihoods_know_every_letter_of_the_model(spark):
+    r = random.Random(7)
+    scripts = {"en": [chr(k) for k in range(0x61, 0x7B)], "el": [chr(k) for k in range(0x3B1, 0x3CA)], "zh": [chr(k) for k in range(0x4E00, 0x4E00 + 900)], "ko": [chr(k) for k in range(0xAC00, 0xAC00 + 700)]}
+    write = lambda lang, n: " ".join("".join(r.choice(scripts[lang]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    data = [(k, write(lang := ("en", "el", "zh", "ko")[k % 4], 1500 if lang in ("zh", "ko") else 20), lang) for k in range(48)]
+    model = language.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    held, langs = language.Likelihoods(model), model["langs"]
+    assert language.predict(held, langs, [write(lang, 8) for lang in langs])[0] == langs
+
+    p, floors = {g: np.array(x) for g, x in model["p"].items()}, [np.array(f) for f in model["floors"]]
+
+    def log(g):  # of the longest n-gram kept at the end of g
+        g = next((g[k:] for k in range(len(g)) if g[k:] in p), "")
+        return np.log(sum(w * (p.get(g[-m:], floors[m - 1]) if m <= len(g) else floors[m - 1]) for m, w in enumerate(language.WEIGHTS, 1)))
+
+    some = [w for _, text, _ in data for w in text.split()[:5]] + ["a" + scripts["zh"][5] + "b", "ж", "aж" + scripts["ko"][0]]
+    for word, row in zip(some, held.of(some)[0], strict=True):
+        want = sum(log(f"^{word}$"[k : k + 3]) for k in range(len(word)))
+        assert np.allclose(np.log(row), np.maximum(want - want.max(), -language.WORD_LIMIT), atol=1e-3)
