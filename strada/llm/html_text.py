@@ -1,7 +1,7 @@
 """Main text of HTML pages by a linear-chain conditional random field over the leaf blocks of the document tree.
 
 A tolerant scan splits a page into leaf blocks: runs of text between block-level tags, each with its open ancestors (tag
-names and the words of their class, id and role). Contents of script, style, head and the like are never blocks. Features
+names and the words of their class, id and role). Contents of script, style, svg and the like are never blocks. Features
 are the ancestors' tags and name words, the block's own tag, and the text's length, punctuation, links and wording. Two
 labels, content and boilerplate, are chained by transition weights; Viterbi decodes a page's blocks, and those labelled
 content are the text.
@@ -11,7 +11,9 @@ seeded generator lays out: article templates of many kinds with menus, headers,
 and comments around and between their paragraphs, with the tag and class names in common use. Training is deterministic.
 
 Cases. A null or empty html gives an empty text. Unclosed, misnested or cut-off tags and half character references are
-read as far as they go. A page of plain text without a tag is one block. Rows with a null page_id are left out; rows that
+read as far as they go: script, style, textarea, title and iframe without an end tag go on to the end of the page, as in
+HTML; noscript, svg, select and the other elements without text of the page end with the element around them or before a
+block that can't stand in them; a head ends at what can't stand in it. A page of plain text without a tag is one block. Rows with a null page_id are left out; rows that
 repeat a page_id are extracted each. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -29,7 +31,11 @@ from pyspark.sql import functions as F
 from strada.llm.common import table, work_dir
 
 #: Elements whose content is no text of the page.
-DROPPED = frozenset("script style head noscript template svg math iframe object canvas audio video select textarea title".split())
+DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title".split())
+#: Those of them that hold plain text: without an end tag they go on to the end of the page.
+RAW = frozenset("script style iframe textarea title".split())
+#: Those that may stand in one of their own kind.
+NESTED = frozenset("template svg math object canvas".split())
 #: Elements that end the block before them.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul label option".split()
@@ -37,6 +43,10 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the first kind closes an open element of the second.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Of the block elements, what may stand in a dropped element; the others end one that has no end tag.
+STANDS = {"select": frozenset("option legend hr button".split())}
+#: What else ends an svg or math element without an end tag, as in HTML.
+_BREAKOUT = frozenset("b big br code em embed i img listing nobr ruby s small span strong strike sub sup tt u var".split())
 _ENDS_P = BLOCKS - {"button", "label", "option", "body", "html"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -52,12 +62,31 @@ class Block:
         self.tag = next((t for t in reversed(path) if t in BLOCKS), "")
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where each dropped element of a name ends, by where it begins; those without an end tag aren't in it."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for m in re.finditer(rf"<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\b|$)|<(/?){name}(?=[\s/>]|$)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", page, re.S | re.I):
+        if m.group(3) is None:
+            continue
+        if m.group(2):
+            if open_:
+                out[open_.pop()] = m.end()
+        elif not m.group(3).rstrip().endswith("/"):
+            if name not in NESTED:
+                open_.clear()
+            open_.append(m.start())
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in its order, their character references decoded and white space normalised."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     parts: list[str] = []
     state = {"linked": 0}
+    ends: dict[str, dict[int, int]] = {}
+    held = None  # the place in the stack of a dropped element without an end tag
 
     def flush() -> None:
         if parts:
@@ -76,11 +105,11 @@ def blocks_of(page: str) -> list[Block]:
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
-        at = m.end()
+        begin, at = at, m.end()
         name = m.group(2)
         if name is None:
             raw = m.group()
-            if raw[0] != "<" or raw == "<":
+            if held is None and (raw[0] != "<" or raw == "<"):
                 text = _html.unescape(raw)
                 parts.append(text)
                 if any(t == "a" for t, _, _ in stack):
@@ -89,19 +118,43 @@ def blocks_of(page: str) -> list[Block]:
         name = name.lower()
         if m.group(1):
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if held is not None and k is not None and k <= held:
+                del stack[held:]
+                held = None
+                if k == len(stack):
+                    continue
             if k is not None and (name in BLOCKS or not any(t in BLOCKS for t, _, _ in stack[k + 1 :])):
                 close(k)
             elif k is not None:  # an inline element that a block has cut through
                 del stack[k]
             continue
+        if held is not None:
+            inside = stack[held][0]
+            if (name in BLOCKS and name not in STANDS.get(inside, ())) or (inside in ("svg", "math") and name in _BREAKOUT):
+                del stack[held:]
+                held = None
+        if name == "head":  # what may stand in it is dropped by itself; anything else ends it
+            continue
         if name in DROPPED:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            if name == "head" and not end:
-                end = re.compile(r"(?=<body\b)", re.I).search(page, at)
-            if not m.group(3).rstrip().endswith("/"):
-                at = end.end() if end else n
-            if name not in ("title", "head"):
+            if name != "title" and held is None:
                 parts.append(" ")
+            if m.group(3).rstrip().endswith("/"):
+                continue
+            if name in RAW:
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                at = end.end() if end else n
+                continue
+            if name not in ends:
+                ends[name] = _ends(page, name)
+            if begin in ends[name]:
+                at = max(at, ends[name][begin])
+            elif held is None:
+                held = len(stack)
+                stack.append((name, (), False))
+            continue
+        if held is not None:
+            if name not in VOID and name not in BLOCKS and not m.group(3).rstrip().endswith("/"):
+                stack.append((name, (), False))
             continue
         if name == "br":
             parts.append(" ")

@@ -169,3 +169,29 @@ def test_likelihoods_know_every_letter_of_the_model(spark):
     for word, row in zip(some, held.of(some)[0], strict=True):
         want = sum(log(f"^{word}$"[k : k + 3]) for k in range(len(word)))
         assert np.allclose(np.log(row), np.maximum(want - want.max(), -language.WORD_LIMIT), atol=1e-3)
+
+
+ARTICLE = "<article><h1>A title</h1><p>One sentence of text that is in the article.</p></article>"
+FOUND = ["A title", "One sentence of text that is in the article."]
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        (f"<html><head><title>T</title>{ARTICLE}", FOUND),
+        (f"<head><meta charset=utf-8><style>p{{}}</style><script>'</head>'</script><title>T</title></head>{ARTICLE}", FOUND),
+        *[(f"<body><{t} class=x>gone<b>gone</b>{ARTICLE}</body>", [*FOUND] if t not in ("svg", "math") else ["gone", *FOUND]) for t in "noscript template svg math object canvas audio video select".split()],
+        (f"<body><noscript>gone{ARTICLE}<noscript><p>gone</p></noscript>", FOUND),
+        (f"<head><noscript><link rel=x><body>{ARTICLE}", FOUND),
+        (f"<div><span>kept <select><option>gone<option>gone<span>gone</span>gone</span> too</div>{ARTICLE}", ["kept too", *FOUND]),
+        ("<p>before <svg><svg><text>gone</text></svg><text>gone</text></svg> after", ["before after"]),
+        ("<p>before <noscript><p>gone</p></noscript> after<video><p>gone</p></video>", ["before after"]),
+        ("<p>before<script>gone<p>gone", ["before"]),
+    ],
+)
+def test_a_dropped_element_without_end_tag_leaves_the_rest(page, texts):
+    assert [b.text for b in html_text.blocks_of(page)] == texts
+
+
+def test_many_unclosed_elements_are_read_in_linear_time():
+    assert [b.text for b in html_text.blocks_of("<svg><object><noscript>" * 20_000 + "<p>x")] == ["x"]
