@@ -2,13 +2,15 @@
 
 A model holds, for each language of the training rows, the log probabilities of letter n-grams (n = 1 to 3, a word led and
 ended by a mark), interpolated over n. A word's likelihood in a language is the product over its n-grams. A document is a
-mixture: expectation-maximisation over its words estimates the share of each language, on the whole text. The set of
+mixture: expectation-maximisation over its words (parted by white space of any kind) estimates the share of each language, on
+the whole text, until the log likelihood is within TOLERANCE of its greatest. The set of
 languages is chosen by penalised likelihood: from all languages down, the one of the least share goes as long as the
 likelihood falls by less than the penalty, PENALTY * log(words) for each language. The prediction is the language of the
 largest share in that set, the score its share times the posterior weight of the set against the best other language.
 
 Training counts n-grams over a bounded sample: for each language, rows are taken in the order of a hash of their doc_id by
-a threshold that leaves PER_LANGUAGE rows on average. At most NGRAMS n-grams a language are kept, the most frequent.
+a threshold that leaves PER_LANGUAGE rows on average. At most NGRAMS n-grams a language are kept, the most frequent. All languages of the training rows are told apart; the model is as large as the n-grams kept
+times the languages.
 
 Cases. A text that is null or has no letter is `und` with score 0 and an empty set. With no training rows every text is
 `und`. Rows with a null doc_id are left out; rows that repeat a doc_id are predicted each. Ties go to the first language
@@ -29,13 +31,11 @@ from pyspark.sql import functions as F
 
 from strada.llm.common import crc_mod, prepared, table, work_dir
 
-PER_LANGUAGE, NGRAMS, PENALTY, ROUNDS, FEWER = 1500, 40_000, 2.0, 12, 4
+PER_LANGUAGE, NGRAMS, PENALTY, TOLERANCE = 1500, 40_000, 2.0, 0.01
 #: Letters whose n-grams have a dense table (those of others are searched), and characters of the texts that are taken together.
 LETTERS, TOGETHER = 200, 4_000_000
 #: Of the letter, the bigram and the trigram in a letter's probability.
 WEIGHTS = (0.1, 0.3, 0.6)
-#: Languages told apart at most, the most frequent in the training rows.
-LANGUAGES = 512
 #: The largest difference of log likelihood between languages that a single word counts for.
 WORD_LIMIT = 12.0
 
@@ -53,7 +53,7 @@ def ngrams_of(word: str) -> list[str]:
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE, keep: int = NGRAMS) -> dict:
     """rows: (doc_id, text, lang). {"langs": [...], "p": {n-gram: [probability by language]}, "floors": by n, of those that were not kept}"""
     known = rows.where("lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return {"langs": [], "p": {}, "floors": []}
@@ -76,7 +76,7 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE, keep: int = NGRAMS)
     top = grams.withColumn("r", F.row_number().over(W.partitionBy("lang", F.length("gram")).orderBy(F.desc("n"), "gram"))).where(F.col("r") <= keep // 2).select("lang", "gram", "n")
     place = {k: i for i, k in enumerate(langs)}
     tables: list[dict[str, np.ndarray]] = [{}, {}, {}]
-    for r in top.collect():  # at most LANGUAGES * 1.5 * NGRAMS short rows
+    for r in top.collect():  # at most 1.5 * NGRAMS short rows a language
         tables[len(r["gram"]) - 1].setdefault(r["gram"], np.zeros(len(langs)))[place[r["lang"]]] = r["n"]
     logp: dict[str, np.ndarray] = {}
     floors = []
@@ -167,9 +167,15 @@ class Likelihoods:
         return rows, known
 
 
-def _mixture(p: np.ndarray, n: np.ndarray, total: float, share: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    for _ in range(rounds):
-        share = share * ((n / (p @ share)) @ p) / total
+def _mixture(p: np.ndarray, n: np.ndarray, total: float, share: np.ndarray, rounds: float = math.inf) -> tuple[np.ndarray, float]:
+    """Expectation-maximisation until the log likelihood is within TOLERANCE of its greatest, or for some rounds."""
+    k = 0
+    while k < rounds:
+        rise = ((n / (p @ share)) @ p) / total
+        if rounds == math.inf and total * math.log(max(1.0, rise.max())) <= TOLERANCE:  # no shares gain more, as the likelihood is concave
+            break
+        share = np.maximum(share * rise, 1e-100)
+        k += 1
     return share, float(n @ np.log(p @ share))
 
 
@@ -177,13 +183,13 @@ def infer(p: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> tuple[list[
     """p: likelihood of each distinct word by language; n: how often it occurs. (languages chosen, their shares, the penalised advantage over the best single other)."""
     total, langs = float(n.sum()), list(range(p.shape[1]))
     cost = penalty * math.log(total + 1)
-    share, like = _mixture(p, n, total, np.full(len(langs), 1.0 / len(langs)), ROUNDS)
+    share, like = _mixture(p, n, total, np.full(len(langs), 1.0 / len(langs)))
     while len(langs) > 1:
         least = int(np.argmin(share[::-1]))
         least = len(langs) - 1 - least
         fewer = langs[:least] + langs[least + 1 :]
         start = np.delete(share, least) + 1e-9
-        new_share, new_like = _mixture(p[:, fewer], n, total, start / start.sum(), FEWER if len(fewer) > 1 else 0)
+        new_share, new_like = _mixture(p[:, fewer], n, total, start / start.sum())
         if like - new_like > cost:
             break
         langs, share, like = fewer, new_share, new_like
@@ -201,10 +207,10 @@ def predict(held: Likelihoods, langs: list[str], texts: list) -> tuple[list[str]
     while at < len(texts):
         some, size = [], 0
         while at < len(texts) and size < TOGETHER:
-            some.append((texts[at] or "").lower())
+            some.append(" ".join((texts[at] or "").lower().split()))
             size += len(some[-1])
             at += 1
-        lists = pc.split_pattern(pc.replace_substring(pa.array(some, pa.large_string()), "\n", " "), " ")
+        lists = pc.split_pattern(pa.array(some, pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
         rows, known = held.of(coded.dictionary.to_pylist())
         index, edges = coded.indices.to_numpy(), np.asarray(lists.offsets)

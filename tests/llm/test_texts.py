@@ -195,3 +195,27 @@ def test_a_dropped_element_without_end_tag_leaves_the_rest(page, texts):
 
 def test_many_unclosed_elements_are_read_in_linear_time():
     assert [b.text for b in html_text.blocks_of("<svg><object><noscript>" * 20_000 + "<p>x")] == ["x"]
+
+
+def test_shares_come_from_a_likelihood_near_its_greatest():
+    r = np.random.RandomState(1)
+    p, n = r.rand(400, 3) * 0.1 + 0.7, r.randint(1, 20, 400).astype(float)
+    p[:150, 0] += 0.3
+    p[150:, 1] += 0.3
+    chosen, share, _ = language.infer(p, n, penalty=0.0)
+    rise = ((n / (p[:, chosen] @ share)) @ p[:, chosen]) / n.sum()
+    assert len(chosen) > 1 and n.sum() * np.log(rise.max()) <= 0.01
+
+
+def test_words_are_parted_at_white_space_of_any_kind(labelled):
+    model = language.train(labelled.where("lang IS NOT NULL"))
+    held, langs = language.Likelihoods(model), model["langs"]
+    text = prose("en", 1, 200) + " " + prose("de", 2, 100)
+    names, scores, sets = language.predict(held, langs, [s.join(text.split()) for s in (" ", "\t", " ", " ", "\r\n", "\x0b\x85")])
+    assert set(names) == {"en"} and len(set(scores)) == 1 and all(s == ["en", "de"] for s in sets)
+
+
+def test_all_languages_are_learned(spark):
+    data = [(k, chr(0x4E00 + k) * 3, f"l{k:04}") for k in range(600)]
+    model = language.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert model["langs"] == [lang for _, _, lang in data]
