@@ -8,7 +8,7 @@ apart meet too; those that do are kept up to KEPT symbols. Two sets with a simil
 on average, with a deviation of 4.2; they don't meet, or differ in more than KEPT, in about 1 of 100,000 cases, and sets
 with a similarity of 0.8 in 1 of 20 million. Five symbols to a key keep unlike texts that share a passage apart.
 
-1. Documents with equal sets form a class, whose smallest doc_id stands for it: copies are gone before any pairing.
+1. Documents with equal sets form a class, keyed by a 64-bit hash of its print: copies are gone before any pairing.
 2. Keys are exploded as (key, id); buckets of more than one member are kept, and of buckets with equal members one.
 3. Each member is compared with its buckets' smallest members, once for each such pair: links of at most KEPT
    symbols join most of a large bucket in one row per member. Buckets whose members are joined by now are done.
@@ -91,7 +91,7 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, print, sig): print tells equal sets; sig is null for an empty set."""
+    """(doc_id, mark, n_shingles, print, sig) of (doc_id, text, mark): print tells equal sets; sig is null for an empty set."""
 
     def run(batches):
         for b in batches:
@@ -104,12 +104,12 @@ def prints(docs: DataFrame) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full) if full else ())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[begin:at]), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(ids[begin:at]), b.column(2).slice(begin, at - begin), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ], ["doc_id", "n_shingles", "print", "sig"])
+                ], ["doc_id", "mark", "n_shingles", "print", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, print binary, sig binary")
+    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, print binary, sig binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -241,11 +241,16 @@ def components(links: DataFrame, path: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_dedup(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    own = prepared(docs, key, text).select(F.col(key).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def mark_of(text):
+    """Tells the texts of one doc_id."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def components_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, mark, n_shingles, comp, component_id; comp tells components, also those that have the same smallest doc_id, and is null for an empty set."""
+    own = prepared(docs, key, text).select(F.col(key).alias("doc_id"), F.col("text").cast("binary").alias("text"), mark_of(F.col("text")).alias("mark"))
     seen = materialize(prints(own), f"{path}/prints")
-    classes = materialize(seen.where("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), f"{path}/classes")
+    classes = materialize(seen.where("print IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("sig").alias("sig")).select("print", F.xxhash64("print").alias("id"), "one", "sig"), f"{path}/classes")
 
     def keyed(batches):
         for b in batches:
@@ -277,12 +282,19 @@ def near_dedup(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     families = materialize(families, f"{path}/families")
     sizes = families.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(_blocks(families.join(sizes, "comp").select(F.col("comp").alias("key"), "n", "id", F.col("id").alias("node")), TEXT_BLOCK), f"{path}/blocks")
-    work = members.join(own.withColumnRenamed("doc_id", "id"), "id")
+    texts = classes.select("id", "one.doc_id", "one.mark").join(families.join(sizes, "comp").select("id"), "id").join(own, ["doc_id", "mark"]).select("id", "text")
+    work = members.join(texts, "id")
     links = _linked(work, "text", lambda c: [shingles(x) for x in c.to_pylist()], _similar)
     linked = components(links, f"{path}/links")
-    named = classes.select("print", "id").join(linked, "id", "left").select("print", F.coalesce("comp", "id").alias("component_id"))
-    out = seen.select("doc_id", "n_shingles", "print").join(named, "print", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"))
+    low = linked.join(classes.select("id", "one.doc_id"), "id").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = classes.join(linked.join(low, "comp"), "id", "left").select("print", F.coalesce("comp", "id").alias("comp"), F.coalesce("component_id", "one.doc_id").alias("component_id"))
+    out = seen.select("doc_id", "mark", "n_shingles", "print").join(named, "print", "left")
+    return out.select("doc_id", "mark", "n_shingles", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    return components_of(docs, path, key, text).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,9 @@ def test_components_of_a_chain_and_a_star(spark, path):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, 100 + k) for k in range(1, 60)] + [(200, 199)]
     got = near_dedup.components(spark.createDataFrame(links, "a long, b long"), path)
     assert {r["id"]: r["comp"] for r in got.collect()} == {**{k: 1 for k in range(1, 41)}, **{100 + k: 100 for k in range(60)}, 199: 199, 200: 199}
+
+
+def test_unlike_texts_of_one_doc_id_are_linked_as_their_sets_are(spark, path):
+    data = [(5, words(1, 100)), (5, words(2, 100)), (3, words(1, 100) + " tail"), (9, words(2, 100) + " end"), (7, words(3, 100)), (7, words(3, 100) + " x"), (8, words(4, 9)), (8, "")]
+    got = near_dedup.near_dedup(spark.createDataFrame(data, "doc_id long, text string"), path)
+    assert sorted(map(tuple, got.collect())) == near_by_hand(data)
