@@ -65,7 +65,7 @@ class Encoder:
         self.new.update(zip(lines, (self.line + ids for ids in self._ids([p[1:] for p in lines])), strict=True))
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        whole = np.array([not t or any(s in t for s in self.special) for t in texts], dtype=bool)
+        whole = np.array([not t or any(s in t or (not self.spaced and s in t.lower()) for s in self.special) for t in texts], dtype=bool)
         flat_texts = pc.replace_substring(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()), "\n", " \n" if self.spaced else " ")
         if not self.spaced:  # this vocabulary is in lower case
             flat_texts = pc.ascii_lower(flat_texts)

@@ -121,3 +121,11 @@ def test_pieces_fill_the_sequences(docs, path, length):
 
 def test_packing_nothing(no_docs, path):
     assert packing.pack(no_docs, path, resolve("byte_bpe_50k.json")).count() == 0
+
+
+@pytest.mark.parametrize("name", ENCODERS)
+def test_special_tokens_in_other_cases_are_plain_text(name):
+    encoder, tokenizer = ENCODERS[name]
+    texts = ["a <|ENDOFTEXT|> b", "a <|EndOfText|> b", "<|ENDOFTEXT|>", "a <|endoftext|> b <|ENDOFTEXT|> c"]
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
