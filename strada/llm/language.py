@@ -258,11 +258,16 @@ def _learnable(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text, lang and others) that have a language, whole and unshuffled; a null lang becomes the prediction."""
+    """The rows of docs (doc_id, text, lang and others) that have a letter, whole and unshuffled; a null lang becomes the prediction, if there are training rows."""
     spark, model = docs.sparkSession, train(_learnable(docs))
     langs, names, schema = model["langs"], docs.columns, docs.schema
     if not langs:
-        return docs.limit(0)
+
+        def lettered(batches):
+            for b in batches:
+                yield b.filter(pa.array([any(map(str.isalpha, (t or "").lower())) for t in b.column(names.index("text")).to_pylist()], pa.bool_()))
+
+        return docs.where("doc_id IS NOT NULL").mapInArrow(lettered, schema)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):

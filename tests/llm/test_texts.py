@@ -219,3 +219,9 @@ def test_all_languages_are_learned(spark):
     data = [(k, chr(0x4E00 + k) * 3, f"l{k:04}") for k in range(600)]
     model = language.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
     assert model["langs"] == [lang for _, _, lang in data]
+
+
+def test_without_a_model_every_document_with_a_letter_is_accepted(docs):
+    kept = language.accepted(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == docs.columns and kept.where("lang IS NOT NULL").count() == 0
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows() if r[0] not in (None, 3, 4, 5, 14))
