@@ -6,7 +6,7 @@ columns of documents; the last returns the pieces of the packed sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strada.llm import exact_dedup, language, mixing, near_dedup, packing
@@ -14,9 +14,10 @@ from strada.llm.common import materialize, table, work_dir
 from strada.llm.tokens import resolve
 
 
-def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is kept, one for each."""
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+def _kept(docs: DataFrame, kept: DataFrame, mark: Column) -> DataFrame:
+    """The rows of docs whose doc_id and mark (of their text) are in kept; of rows with equal ones the first in the order of their columns."""
+    rows = docs.withColumn("_mark", mark).join(kept.toDF("doc_id", "_mark"), ["doc_id", "_mark"], "left_semi")
+    return rows.groupBy("doc_id", "_mark").agg(F.min(F.struct(*docs.columns)).alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +27,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, exact_dedup.exact_dedup(docs, work_dir(spark)).where("kept"))
+    folded = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = exact_dedup.exact_dedup(docs, work_dir(spark)).where("kept").select("doc_id", "text_sha256")
+    return _kept(docs, found, F.sha2(folded.cast("binary"), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, near_dedup.near_dedup(docs, work_dir(spark)).where("kept"))
+    """Of a component's rows with its smallest doc_id, the one of the smallest mark stays; rows without words all stay."""
+    found = near_dedup.components_of(docs, work_dir(spark)).where("doc_id = component_id")
+    one = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "mark")).alias("one")).select("one.doc_id", "one.mark")
+    return _kept(docs, one.unionByName(found.where("comp IS NULL").select("doc_id", "mark")), near_dedup.mark_of(F.col("text")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,3 +137,17 @@ def test_the_pipeline_keeps_what_its_stages_keep(spark, tmp_path):
     assert sorted(pieces) == left
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "MinHash near-dedup", "mixing sources", "packing"]
     assert near_dedup and zlib
+
+
+def test_distinct_texts_of_one_doc_id_survive_both_dedups(spark, tmp_path):
+    import corpus_pipeline
+    from tests.llm.conftest import words
+
+    a, b, c = (words(k, 80) for k in (1, 2, 3))
+    docs = spark.createDataFrame([(5, a, "en"), (7, a.upper(), "en"), (5, b, "en"), (5, c, "en"), (5, c, "de")], "doc_id long, text string, lang string")
+    two = corpus_pipeline.drop_exact_copies(spark, docs, str(tmp_path))
+    want = sorted([(5, b, "en"), (5, c, "de"), (7, a.upper(), "en")])
+    assert sorted(map(tuple, two.collect())) == want
+    near = spark.createDataFrame([*want, (9, b + " tail", "en"), (5, c + " tail", "en")], docs.schema)
+    got = sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, near, str(tmp_path)).collect()))
+    assert len(got) == 3 and {(5, b, "en"), (7, a.upper(), "en")} < set(got)
