@@ -8,15 +8,19 @@ apart meet too; those that do are kept up to KEPT symbols. Two sets with a simil
 on average, with a deviation of 4.2; they don't meet, or differ in more than KEPT, in about 1 of 100,000 cases, and sets
 with a similarity of 0.8 in 1 of 20 million. Five symbols to a key keep unlike texts that share a passage apart.
 
-1. Documents with equal sets form a class, keyed by a 64-bit hash of its print: copies are gone before any pairing.
-2. Keys are exploded as (key, id); buckets of more than one member are kept, and of buckets with equal members one.
-3. Each member is compared with its buckets' smallest members, once for each such pair: links of at most KEPT
-   symbols join most of a large bucket in one row per member. Buckets whose members are joined by now are done.
-4. The other buckets are cut into blocks; each pair of blocks is one unit of work on signatures, which compares what isn't
-   joined yet and yields a spanning forest of the components it links, never all pairs.
-5. The components of both are families. Families are cut into blocks again, and each pair of blocks is compared on the
-   full sets by exact integer counts, which yields a spanning forest of confirmed links.
-6. Components of the confirmed links, by minimum labels with pointer jumping over checkpoint tables.
+1. Documents with equal sets form a class with an id of its own: copies are gone before any pairing.
+2. Each task sorts the keys of its classes. Classes of one task that share a key are told off at once against the smallest
+   of them; one row a key goes on, so that a hot key is one row a task before the shuffle. Keys travel packed, those of a
+   range of keys together, once; where they meet, the smallest members of the tasks are told off against the smallest of all.
+   Buckets of two that hold nothing else give a pair each, larger ones a star: one row a member.
+3. Pairs whose signatures differ in at most KEPT symbols are confirmed on full sets by exact integer counts. Members of a
+   star are dealt to several tasks, each with its smallest member's text, so that no task holds a bucket.
+4. Components of the confirmed links are nodes. Buckets of more than two whose members are in several nodes are open: they
+   are cut into blocks, and each pair of blocks is one unit of work on signatures. It says which nodes have members within
+   KEPT symbols, as a spanning forest, and which classes these are.
+5. Nodes that met so are a family. Its classes are cut into blocks again; each pair of blocks confirms, on full sets, what
+   is near by signature and isn't joined yet. Classes without such a partner are not dealt.
+6. Components of all confirmed links, by minimum labels with pointer jumping over checkpoint tables.
 
 Nothing is capped: a large bucket or family becomes more block pairs, which are dealt to tasks.
 
@@ -42,7 +46,9 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 CHUNKS, CHUNK, ERRORS = 16, 6, 1
 SYMBOLS, DISTANCE, KEPT = CHUNKS * CHUNK, CHUNKS * (ERRORS + 1) - 1, 44
 #: Signatures and texts in a block; a unit of work has two.
-SIGNATURE_BLOCK, TEXT_BLOCK = 1024, 256
+SIGNATURE_BLOCK, TEXT_BLOCK = 1024, 128
+#: Members of a star that are confirmed by one unit of work; keys that a task sorts at once; keys in a range, on average; ranges to a task.
+STAR, TASK_KEYS, RANGE_KEYS, RANGES = 512, 2_000_000, 250_000, 4
 
 _RNG = np.random.RandomState(20_250_101)
 _SALT = _RNG.randint(0, 2**31, SYMBOLS).astype(np.uint32)
@@ -167,27 +173,12 @@ def _near(sig: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _similar(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) with 100 * intersection >= 75 * union, from exact counts."""
-    both = one + two
-    lengths = np.array([len(s) for s in both], dtype=np.int64)
-    _, code, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(both)), lengths)
-    shared = count > 1
-    place = np.cumsum(shared) - 1
-    use = shared[code]
-    rows, code = rows[use], place[code[use]]
-    meet = np.zeros((len(one), len(two)), dtype=np.float64)
-    order = np.argsort(code, kind="stable")
-    rows, code = rows[order], code[order]
-    step = 8192
-    for lo in range(0, int(shared.sum()), step):
-        i, j = np.searchsorted(code, [lo, lo + step])
-        m = np.zeros((len(both), step), dtype=np.float32)
-        m[rows[i:j], code[i:j] - lo] = 1
-        meet += m[: len(one)] @ m[len(one) :].T
-    union = lengths[: len(one), None] + lengths[None, len(one) :] - meet
-    return np.nonzero(DENOMINATOR * meet >= NUMERATOR * union)
+def _alike(one: np.ndarray, two: np.ndarray) -> bool:
+    """100 * intersection >= 75 * union, of two sorted sets."""
+    if not len(one) or not len(two) or DENOMINATOR * min(len(one), len(two)) < NUMERATOR * max(len(one), len(two)):
+        return False
+    meet = len(np.intersect1d(one, two, assume_unique=True))
+    return DENOMINATOR * meet >= NUMERATOR * (len(one) + len(two) - meet)
 
 
 def _blocks(members: DataFrame, size: int) -> DataFrame:
@@ -199,31 +190,87 @@ def _blocks(members: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _linked(work: DataFrame, column: str, load, compare) -> DataFrame:
-    """Links (a, b) between the nodes of each unit of work (key, i, j), from what compare finds between its two blocks."""
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+
+
+def _units(batches) -> Iterator[tuple]:
+    """(table, places of block i, places of block j, nodes) of each unit of work (key, i, j) that holds several nodes, each member once."""
+    for t in _groups(batches, ["key", "i", "j"]):
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        ids, blk, node = (t[c].to_numpy() for c in ("id", "blk", "node"))
+        _, first = np.unique(ids, return_index=True)
+        one, two = first[blk[first] == i], first[blk[first] == j]
+        if len(one) and len(two) and len(np.unique(node[np.concatenate([one, two])])) > 1:
+            yield t, one, two, node
+
+
+def _pairs_of(t: pa.Table, one: np.ndarray, two: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of members of different nodes whose signatures are near; each pair once."""
+    left = _signatures(t["sig"].take(pa.array(one)))
+    same = len(one) == len(two) and (one == two).all()
+    right = left if same else _signatures(t["sig"].take(pa.array(two)))
+    a, b = _near(left, right)
+    if same:
+        a, b = a[a < b], b[a < b]
+    x, y = one[a], two[b]
+    apart = node[x] != node[y]
+    return x[apart], y[apart]
+
+
+def _dealt(work: DataFrame) -> DataFrame:
+    return work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _met(work: DataFrame) -> DataFrame:
+    """From units (key, i, j, blk, id, node, sig): (a, b, id) with a forest of the nodes that have near members (id null), and those members with their node (b null)."""
 
     def run(batches):
-        for t in _groups(batches, ["key", "i", "j"]):
-            i, j = t["i"][0].as_py(), t["j"][0].as_py()
-            ids, blk = t["id"].to_numpy(), t["blk"].to_numpy()
-            _, first = np.unique(ids, return_index=True)
-            one, two = first[blk[first] == i], first[blk[first] == j]
-            node = t["node"].to_numpy()
-            if not len(one) or not len(two) or len(np.unique(node[np.concatenate([one, two])])) < 2:
-                continue
-            got = t[column]
-            left = load(got.take(pa.array(one)))
-            right = left if i == j else load(got.take(pa.array(two)))
-            a, b = compare(left, right)
-            if i == j:
-                a, b = a[a < b], b[a < b]
-            names, place = np.unique(np.concatenate([node[one], node[two]]), return_inverse=True)
-            a, b = place[a], place[b + len(one)]
-            out = _forest(names, a[a != b], b[a != b])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+        for t, one, two, node in _units(batches):
+            x, y = _pairs_of(t, one, two, node)
+            if len(x):
+                names, place = np.unique(np.concatenate([node[x], node[y]]), return_inverse=True)
+                a, b = _forest(names, place[: len(x)], place[len(x) :])
+                near = np.unique(np.concatenate([x, y]))
+                ids = t["id"].to_numpy()[near]
+                yield pa.RecordBatch.from_arrays([pa.array([*a, *node[near].tolist()], pa.int64()), pa.array([*b, *[None] * len(near)], pa.int64()), pa.array([*[None] * len(a), *ids.tolist()], pa.int64())], ["a", "b", "id"])
 
-    return work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return _dealt(work).mapInArrow(run, "a long, b long, id long")
+
+
+def _confirmed(work: DataFrame) -> DataFrame:
+    """From units (key, i, j, blk, id, node, sig, text): links (a, b) between nodes, confirmed on full sets; those that others already join are not made."""
+
+    def run(batches):
+        for t, one, two, node in _units(batches):
+            x, y = _pairs_of(t, one, two, node)
+            held: dict[int, np.ndarray] = {}
+            texts = t["text"]
+
+            def full(k: int, held=held, texts=texts) -> np.ndarray:
+                if k not in held:
+                    held[k] = shingles(texts[k].as_py())
+                return held[k]
+
+            up: dict[int, int] = {}
+
+            def root(k: int, up=up) -> int:
+                while up.setdefault(k, k) != k:
+                    up[k] = up[up[k]]
+                    k = up[k]
+                return k
+
+            a, b = [], []
+            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                u, v = int(node[p]), int(node[q])
+                if root(u) != root(v) and _alike(full(p), full(q)):
+                    up[root(u)] = root(v)
+                    a.append(u)
+                    b.append(v)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _dealt(work).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
@@ -241,6 +288,140 @@ def components(links: DataFrame, path: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Longs byte by byte, the first bytes of all before the second ones: sorted or narrow numbers leave few bytes to the shuffle's compression."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin, and how long they are."""
+    starts = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, dtype=np.int64)
+    return starts, np.diff(np.append(starts, len(sorted_keys)))
+
+
+def buckets(classes: DataFrame, n: int) -> DataFrame:
+    """(key, a, b) from n classes (id, sig): the stars of the keys that classes share, a being the smallest member (of a task's or of all); key is null for a bucket of two that is whole."""
+    bits = max(0, math.ceil(math.log2(max(1, n * SYMBOLS / RANGE_KEYS))))
+    shift = np.uint64(64 - bits)
+
+    def packed(batches):
+        ids: list[np.ndarray] = []
+        sigs: list[np.ndarray] = []
+        spread = 0
+
+        def out():
+            nonlocal spread
+            own = np.concatenate(ids)
+            order = np.argsort(own, kind="stable")
+            own = own[order].astype(np.uint64)
+            keys = chunk_keys(np.concatenate(sigs)[order]).view(np.uint64).ravel()
+            at = np.argsort(keys, kind="stable")
+            keys, who = keys[at], own[at // SYMBOLS]
+            starts, lengths = _runs(keys)
+            more = lengths > 1
+            inner = np.ones(len(keys), dtype=bool)
+            inner[starts] = False
+            if inner.any():  # told off here, and only passed on
+                leads = np.repeat(who[starts], lengths)[inner]
+                spread += 1
+                yield -1 - spread, keys[inner], leads, who[inner]
+            ranges = keys[starts] >> shift if bits else np.zeros(len(starts), dtype=np.uint64)
+            cuts, sizes = _runs(ranges)
+            marked = who[starts] << np.uint64(1) | more.astype(np.uint64)
+            for lo, size in zip(cuts.tolist(), sizes.tolist(), strict=True):
+                yield int(ranges[lo]), keys[starts[lo : lo + size]], marked[lo : lo + size], None
+
+        def rows():
+            held = 0
+            for b in batches:
+                if len(b):
+                    ids.append(b.column(0).to_numpy())
+                    sigs.append(_signatures(b.column(1)))
+                    held += len(b) * SYMBOLS
+                    if held >= TASK_KEYS:
+                        yield from out()
+                        ids.clear(), sigs.clear()
+                        held = 0
+            if held:
+                yield from out()
+
+        for route, keys, a, b in rows():
+            yield pa.RecordBatch.from_arrays([pa.array([route], pa.int64()), *[pa.array([None if x is None else _planes(x)], pa.binary()) for x in (keys, a, b)]], ["route", "keys", "a", "b"])
+
+    def stars(batches):
+        columns = lambda key, a, b: pa.RecordBatch.from_arrays([key, pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["key", "a", "b"])
+        for t in _groups(batches, ["route"]):
+            if t["route"][0].as_py() < 0:
+                for keys, a, b in zip(*(t[c].to_pylist() for c in ("keys", "a", "b")), strict=True):
+                    yield columns(pa.array(_from_planes(keys).view(np.int64)), _from_planes(a), _from_planes(b))
+                continue
+            keys, who = (np.concatenate([_from_planes(x) for x in t[c].to_pylist()]) for c in ("keys", "a"))
+            at = np.lexsort((who, keys))
+            keys, who = keys[at], who[at]
+            starts, lengths = _runs(keys)
+            more = np.repeat(lengths, lengths) > 1
+            whole = np.repeat((lengths == 2) & (np.add.reduceat(who & np.uint64(1), starts) == 0), lengths) if len(starts) else more
+            who = who >> np.uint64(1)
+            more[starts] = False
+            leads = np.repeat(who[starts], lengths)
+            two = np.unique(np.stack([leads[more & whole], who[more & whole]], axis=1), axis=0)
+            if len(two):
+                yield columns(pa.nulls(len(two), pa.int64()), two[:, 0], two[:, 1])
+            star = more & ~whole
+            if star.any():
+                yield columns(pa.array(keys[star].view(np.int64)), leads[star], who[star])
+
+    parts = max(1, (1 << bits) // RANGES)
+    return classes.select("id", "sig").mapInArrow(packed, "route long, keys binary, a binary, b binary").repartition(parts, "route").sortWithinPartitions("route").mapInArrow(stars, "key long, a long, b long")
+
+
+def _near_only(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in at most KEPT symbols."""
+
+    def against(batches):
+        for b in batches:
+            if len(b):
+                far = (_signatures(b.column(2)) != _signatures(b.column(3))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(far <= KEPT))
+
+    sides = pairs.hint("merge").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
+    sides = sides.hint("merge").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a")
+    return sides.select("a", "b", "sa", "sb").mapInArrow(against, "a long, b long")
+
+
+def _stars_confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike. A star's members are dealt by a hash, STAR to a unit on average; each unit streams by, its first text being a's."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR)).cast("int").alias("units"))
+    members = pairs.join(sizes.hint("merge"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("units")).cast("int").alias("unit"), F.col("b").alias("id"), F.lit(1).alias("role"))
+    heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.col("a").alias("id"), F.lit(0).alias("role"))
+    work = members.unionByName(heads).hint("merge").join(texts.hint("merge"), "id")
+
+    def run(batches):
+        now, head, done = None, None, None
+        for b in batches:
+            a, unit, ids, role = (b.column(k).to_numpy() for k in range(4))
+            texts, out = b.column(4), ([], [])
+            for k in range(len(b)):
+                if (a[k], unit[k]) != now:
+                    now, head, done = (a[k], unit[k]), None, None
+                if not role[k]:
+                    head = shingles(texts[k].as_py()) if head is None else head
+                elif ids[k] != done:  # equal rows of one document come one after the other
+                    done = ids[k]
+                    if _alike(head, shingles(texts[k].as_py())):
+                        out[0].append(int(a[k]))
+                        out[1].append(int(ids[k]))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    work = work.select("a", "unit", "id", "role", "text").repartition("a", "unit").sortWithinPartitions("a", "unit", "role", "id")
+    return work.mapInArrow(run, "a long, b long")
+
+
 def mark_of(text):
     """Tells the texts of one doc_id."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
@@ -250,48 +431,50 @@ def components_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     """One row per document: doc_id, mark, n_shingles, comp, component_id; comp tells components, also those that have the same smallest doc_id, and is null for an empty set."""
     own = prepared(docs, key, text).select(F.col(key).alias("doc_id"), F.col("text").cast("binary").alias("text"), mark_of(F.col("text")).alias("mark"))
     seen = materialize(prints(own), f"{path}/prints")
-    classes = materialize(seen.where("print IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("sig").alias("sig")).select("print", F.xxhash64("print").alias("id"), "one", "sig"), f"{path}/classes")
-
-    def keyed(batches):
-        for b in batches:
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
-            keys = chunk_keys(sig)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]))], ["key", "id"])
-
-    keys = classes.select("id", "sig").mapInArrow(keyed, "key long, id long")
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("mark")).where("n > 1")
-    buckets = materialize(buckets.groupBy("n", "low", "mark").agg(F.min("key").alias("key")).select("key", "n", "low"), f"{path}/buckets")
-    members = materialize(keys.join(buckets, "key"), f"{path}/members")
+    classes = seen.where("print IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select("print", F.monotonically_increasing_id().alias("id"), "one", "sig"), f"{path}/classes")
     sigs = classes.select("id", "sig")
-
-    def against(batches):
-        for b in batches:
-            one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((one != two).sum(axis=1) <= KEPT))
-
-    firsts = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    firsts = firsts.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-    joined = components(firsts.select("a", "b", "sa", "sb").mapInArrow(against, "a long, b long"), f"{path}/firsts")
-    members = materialize(members.join(joined, "id", "left").select("key", "n", "id", F.coalesce("comp", "id").alias("node")), f"{path}/nodes")
-    apart = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    work = _blocks(members.join(apart, "key"), SIGNATURE_BLOCK).join(sigs, "id")
-    load = lambda c: np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
-    over = components(_linked(work, "sig", load, _near), f"{path}/over").select(F.col("id").alias("node"), F.col("comp").alias("top"))
-    nodes = members.select("id", "node").distinct()
-    families = nodes.join(over, "node", "left").select("id", F.coalesce("top", "node").alias("comp"))
-    families = materialize(families, f"{path}/families")
-    sizes = families.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(_blocks(families.join(sizes, "comp").select(F.col("comp").alias("key"), "n", "id", F.col("id").alias("node")), TEXT_BLOCK), f"{path}/blocks")
-    texts = classes.select("id", "one.doc_id", "one.mark").join(families.join(sizes, "comp").select("id"), "id").join(own, ["doc_id", "mark"]).select("id", "text")
-    work = members.join(texts, "id")
-    links = _linked(work, "text", lambda c: [shingles(x) for x in c.to_pylist()], _similar)
-    linked = components(links, f"{path}/links")
+    stars = materialize(buckets(sigs, classes.count()), f"{path}/stars")
+    pairs = materialize(_near_only(stars.select("a", "b").distinct(), sigs), f"{path}/pairs")
+    ids = lambda df: df.select(F.explode(F.array("a", "b")).alias("id"))
+    wanted = ids(pairs).unionByName(ids(stars.where("key IS NOT NULL"))).distinct()
+    at = classes.select("id", "one.doc_id", "one.mark").hint("merge").join(wanted.hint("merge"), "id", "left_semi")
+    texts = materialize(at.hint("merge").join(own.hint("merge"), ["doc_id", "mark"]).select("id", "text"), f"{path}/texts")
+    links = materialize(_stars_confirmed(pairs, texts), f"{path}/confirmed")
+    linked = components(links, f"{path}/first")
+    further = _of_open(stars, linked, sigs, texts, path)
+    if further is not None:
+        linked = components(linked.select(F.col("comp").alias("a"), F.col("id").alias("b")).unionByName(further), f"{path}/all")
     low = linked.join(classes.select("id", "one.doc_id"), "id").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = classes.join(linked.join(low, "comp"), "id", "left").select("print", F.coalesce("comp", "id").alias("comp"), F.coalesce("component_id", "one.doc_id").alias("component_id"))
     out = seen.select("doc_id", "mark", "n_shingles", "print").join(named, "print", "left")
     return out.select("doc_id", "mark", "n_shingles", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _of_open(stars: DataFrame, linked: DataFrame, sigs: DataFrame, texts: DataFrame, path: str) -> DataFrame | None:
+    """Links (a, b) between the nodes that the first components left apart within buckets of more than two; None if there is nothing to compare."""
+    of = lambda c: linked.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_node"))
+    rows = stars.where("key IS NOT NULL").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rows = materialize(rows.select("key", "a", "b", F.coalesce("a_node", "a").alias("a_node"), F.coalesce("b_node", "b").alias("b_node")), f"{path}/nodes")
+    lo, hi = F.min(F.least("a_node", "b_node")).alias("lo"), F.max(F.greatest("a_node", "b_node")).alias("hi")
+    apart = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), lo, hi).where("lo <> hi AND rows > 1").select("key")
+    member = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a_node").alias("node")), F.struct(F.col("b").alias("id"), F.col("b_node").alias("node")))).alias("m")
+    members = rows.join(apart, "key").select("key", member).select("key", "m.id", "m.node").distinct()
+    members = materialize(members, f"{path}/open")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("other"))
+    sizes = sizes.groupBy("n", "mark", "other").agg(F.min("key").alias("key")).select("key", "n")  # of buckets with equal members one
+    work = _blocks(members.join(sizes, "key"), SIGNATURE_BLOCK).join(sigs, "id")
+    met = materialize(_met(work), f"{path}/met")
+    if not met.limit(1).count():
+        return None
+    family = components(met.where("b IS NOT NULL").select("a", "b"), f"{path}/families")
+    active = met.where("id IS NOT NULL").select(F.col("a").alias("node"), "id").distinct()
+    active = materialize(active.join(family.select(F.col("id").alias("node"), F.col("comp").alias("key")), "node"), f"{path}/active")
+    sizes = active.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    work = _blocks(active.join(sizes, "key"), TEXT_BLOCK).join(sigs, "id").join(texts, "id")
+    return materialize(_confirmed(work), f"{path}/further")
+
+
 def near_dedup(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     return components_of(docs, path, key, text).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
