@@ -15,8 +15,9 @@ with a similarity of 0.8 in 1 of 20 million. Five symbols to a key keep unlike t
    Buckets of two that hold nothing else give a pair each, larger ones a star: one row a member.
 3. Pairs whose signatures differ in at most KEPT symbols are confirmed on full sets by exact integer counts. Members of a
    star are dealt to several tasks, each with its smallest member's text, so that no task holds a bucket.
-4. Components of the confirmed links are nodes. Buckets of more than two whose members are in several nodes are open: they
-   are cut into blocks, and each pair of blocks is one unit of work on signatures. It says which nodes have members within
+4. Components of the confirmed links are nodes. Buckets of more than two whose members are in several nodes are open. Open
+   buckets with the same head, the member that is in the most buckets, overlap: they become one where that leaves fewer
+   pairs to compare. Buckets are cut into blocks, and each pair of blocks is one unit of work on signatures. It says which nodes have members within
    KEPT symbols, as a spanning forest, and which classes these are.
 5. Nodes that met so are a family. Its classes are cut into blocks again; each pair of blocks confirms, on full sets, what
    is near by signature and isn't joined yet. Classes without such a partner are not dealt.
@@ -38,9 +39,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strada.llm.common import materialize, prepared, table, work_dir
+from strada.llm.common import materialize, prepared, table, tidied, work_dir
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 CHUNKS, CHUNK, ERRORS = 16, 6, 1
@@ -115,7 +117,7 @@ def prints(docs: DataFrame) -> DataFrame:
                     pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ], ["doc_id", "mark", "n_shingles", "print", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, print binary, sig binary")
+    return docs.mapInArrow(tidied(run), "doc_id long, mark long, n_shingles long, print binary, sig binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -270,7 +272,7 @@ def _confirmed(work: DataFrame) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return _dealt(work).mapInArrow(run, "a long, b long")
+    return _dealt(work).mapInArrow(tidied(run), "a long, b long")
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
@@ -376,7 +378,7 @@ def buckets(classes: DataFrame, n: int) -> DataFrame:
                 yield columns(pa.array(keys[star].view(np.int64)), leads[star], who[star])
 
     parts = max(1, (1 << bits) // RANGES)
-    return classes.select("id", "sig").mapInArrow(packed, "route long, keys binary, a binary, b binary").repartition(parts, "route").sortWithinPartitions("route").mapInArrow(stars, "key long, a long, b long")
+    return classes.select("id", "sig").mapInArrow(tidied(packed), "route long, keys binary, a binary, b binary").repartition(parts, "route").sortWithinPartitions("route").mapInArrow(tidied(stars), "key long, a long, b long")
 
 
 def _near_only(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -419,7 +421,7 @@ def _stars_confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
     work = work.select("a", "unit", "id", "role", "text").repartition("a", "unit").sortWithinPartitions("a", "unit", "role", "id")
-    return work.mapInArrow(run, "a long, b long")
+    return work.mapInArrow(tidied(run), "a long, b long")
 
 
 def mark_of(text):
@@ -441,38 +443,40 @@ def components_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     at = classes.select("id", "one.doc_id", "one.mark").hint("merge").join(wanted.hint("merge"), "id", "left_semi")
     texts = materialize(at.hint("merge").join(own.hint("merge"), ["doc_id", "mark"]).select("id", "text"), f"{path}/texts")
     links = materialize(_stars_confirmed(pairs, texts), f"{path}/confirmed")
-    linked = components(links, f"{path}/first")
-    further = _of_open(stars, linked, sigs, texts, path)
-    if further is not None:
-        linked = components(linked.select(F.col("comp").alias("a"), F.col("id").alias("b")).unionByName(further), f"{path}/all")
+    linked = _of_open(stars, components(links, f"{path}/first"), sigs, texts, path)
     low = linked.join(classes.select("id", "one.doc_id"), "id").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = classes.join(linked.join(low, "comp"), "id", "left").select("print", F.coalesce("comp", "id").alias("comp"), F.coalesce("component_id", "one.doc_id").alias("component_id"))
     out = seen.select("doc_id", "mark", "n_shingles", "print").join(named, "print", "left")
     return out.select("doc_id", "mark", "n_shingles", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _of_open(stars: DataFrame, linked: DataFrame, sigs: DataFrame, texts: DataFrame, path: str) -> DataFrame | None:
-    """Links (a, b) between the nodes that the first components left apart within buckets of more than two; None if there is nothing to compare."""
-    of = lambda c: linked.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_node"))
-    rows = stars.where("key IS NOT NULL").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rows = materialize(rows.select("key", "a", "b", F.coalesce("a_node", "a").alias("a_node"), F.coalesce("b_node", "b").alias("b_node")), f"{path}/nodes")
-    lo, hi = F.min(F.least("a_node", "b_node")).alias("lo"), F.max(F.greatest("a_node", "b_node")).alias("hi")
-    apart = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), lo, hi).where("lo <> hi AND rows > 1").select("key")
-    member = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a_node").alias("node")), F.struct(F.col("b").alias("id"), F.col("b_node").alias("node")))).alias("m")
-    members = rows.join(apart, "key").select("key", member).select("key", "m.id", "m.node").distinct()
-    members = materialize(members, f"{path}/open")
+def _of_open(stars: DataFrame, linked: DataFrame, sigs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+    """(id, comp) of all links, from linked, the components so far: what they leave apart within buckets of more than two is compared."""
+    members = stars.where("key IS NOT NULL").select("key", F.explode(F.array("a", "b")).alias("id")).distinct()
+    members = members.join(linked.select("id", F.col("comp").alias("node")), "id", "left").select("key", "id", F.coalesce("node", "id").alias("node"))
+    members = materialize(members.withColumn("often", F.count(F.lit(1)).over(W.partitionBy("id"))), f"{path}/members")  # at most SYMBOLS rows to an id
+    open_ = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.struct("often", "id")).alias("head"))
+    open_ = materialize(open_.where("lo <> hi AND n > 2").select("key", "n", F.col("head.id").alias("head")), f"{path}/open")
+    rows = materialize(members.join(open_.select("key", "head"), "key").select("head", "key", "id", "node"), f"{path}/apart")
+    # buckets of one head become one where that is less to compare: its members are counted once then
+    apiece = open_.groupBy("head").agg(F.sum(F.col("n") * F.col("n")).alias("apiece"))
+    union = rows.select("head", "id").distinct().groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    whole = union.join(apiece, "head").where(F.col("n") * F.col("n") <= F.col("apiece")).select("head", F.lit(True).alias("whole"))
+    rows = rows.join(whole, "head", "left").select(F.when(F.col("whole"), F.xxhash64("head", F.lit("head"))).otherwise(F.col("key")).alias("key"), "id", "node")
+    members = materialize(rows.distinct(), f"{path}/dealt")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("other"))
     sizes = sizes.groupBy("n", "mark", "other").agg(F.min("key").alias("key")).select("key", "n")  # of buckets with equal members one
     work = _blocks(members.join(sizes, "key"), SIGNATURE_BLOCK).join(sigs, "id")
     met = materialize(_met(work), f"{path}/met")
     if not met.limit(1).count():
-        return None
+        return linked
     family = components(met.where("b IS NOT NULL").select("a", "b"), f"{path}/families")
     active = met.where("id IS NOT NULL").select(F.col("a").alias("node"), "id").distinct()
     active = materialize(active.join(family.select(F.col("id").alias("node"), F.col("comp").alias("key")), "node"), f"{path}/active")
     sizes = active.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     work = _blocks(active.join(sizes, "key"), TEXT_BLOCK).join(sigs, "id").join(texts, "id")
-    return materialize(_confirmed(work), f"{path}/further")
+    further = materialize(_confirmed(work), f"{path}/further")
+    return components(linked.select(F.col("comp").alias("a"), F.col("id").alias("b")).unionByName(further), f"{path}/all")
 
 
 def near_dedup(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
