@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strada.llm.common import crc_mod, prepared, table, work_dir
+from strada.llm.common import crc_mod, prepared, table, tidied, work_dir
 
 PER_LANGUAGE, NGRAMS, PENALTY, TOLERANCE = 1500, 40_000, 2.0, 0.01
 #: Letters whose n-grams have a dense table (those of others are searched), and characters of the texts that are taken together.
-LETTERS, TOGETHER = 200, 4_000_000
+LETTERS, TOGETHER = 200, 2_000_000
 #: Of the letter, the bigram and the trigram in a letter's probability.
 WEIGHTS = (0.1, 0.3, 0.6)
 #: The largest difference of log likelihood between languages that a single word counts for.
@@ -104,21 +104,35 @@ class Likelihoods:
         often = sorted({c for g in p for c in g if c.isalpha()}, key=lambda c: (-p[c].max() if c in p else 0.0, c))
         self.number = {c: k + 1 for k, c in enumerate(often)}
         self.size, self.near = len(often) + 2, min(len(often), LETTERS) + 1
-        logs, place = [np.log(sum(w * f for w, f in zip(WEIGHTS, floors, strict=True)))], np.zeros((self.near,) * 3, dtype=np.int32)
+        logs = [np.log(sum(w * f for w, f in zip(WEIGHTS, floors, strict=True)))]
         self.sorted = []
-        for n in (1, 2, 3):  # the longer ones take the place of the shorter
+        for n in (1, 2, 3):
             codes = {}
             for g in (g for g in p if len(g) == n):
                 if "^" not in g[1:] and "$" not in g[:-1]:
-                    at = [self.number.get(c, 0) for c in g]
-                    codes[self._code(at)] = len(logs)
-                    if max(at) < self.near:
-                        place[(..., *at)] = len(logs)
+                    codes[self._code([self.number.get(c, 0) for c in g])] = len(logs)
                     logs.append(np.log(sum(w * (p.get(g[-m:], floors[m - 1]) if m <= n else floors[m - 1]) for m, w in enumerate(WEIGHTS, 1))))
             keys = np.array(list(codes), dtype=np.int64)
             order = np.argsort(keys)
             self.sorted.append((keys[order], np.array(list(codes.values()), dtype=np.int32)[order]))
-        self.place, self.logs = place.ravel(), np.array(logs, dtype=np.float32)
+        self.logs = np.array(logs, dtype=np.float32)
+        self._fill()
+
+    def _fill(self) -> None:
+        place = np.zeros((self.near,) * 3, dtype=np.int32)
+        for n, (keys, places) in enumerate(self.sorted, 1):  # the longer ones take the place of the shorter
+            at = [keys // self.size**k % self.size for k in range(n - 1, -1, -1)]
+            use = np.max(at, axis=0) < self.near if len(keys) else np.zeros(0, dtype=bool)
+            place[(..., *(x[use] for x in at))] = places[use]
+        self.place = place.ravel()
+
+    def __getstate__(self):
+        """What is broadcast: the n-grams' codes and logarithms, without the table."""
+        return {k: v for k, v in self.__dict__.items() if k != "place"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._fill()
 
     def _code(self, at):
         """One number for up to three; below 2^63, as there are fewer than 2^21 characters."""
@@ -237,15 +251,15 @@ def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "tex
     schema = "doc_id long, lang_pred string, score double, langs array<string>"
     if not langs:
         return own.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("langs"))
-    sent = spark.sparkContext.broadcast(model)  # at most NGRAMS n-grams a language
+    sent = spark.sparkContext.broadcast(Likelihoods(model))  # at most 1.5 * NGRAMS n-grams a language, a number for each language
 
     def run(batches):
-        held = Likelihoods(sent.value)
+        held = sent.value
         for b in batches:
             names, scores, sets = predict(held, langs, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string()))], ["doc_id", "lang_pred", "score", "langs"])
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidied(run), schema)
 
 
 def held_out():
@@ -268,10 +282,10 @@ def accepted(docs: DataFrame) -> DataFrame:
                 yield b.filter(pa.array([any(map(str.isalpha, (t or "").lower())) for t in b.column(names.index("text")).to_pylist()], pa.bool_()))
 
         return docs.where("doc_id IS NOT NULL").mapInArrow(lettered, schema)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(Likelihoods(model))
 
     def run(batches):
-        held = Likelihoods(sent.value)
+        held = sent.value
         for b in batches:
             found, _, _ = predict(held, langs, b.column(names.index("text")).to_pylist())
             columns = list(b.columns)
@@ -279,7 +293,7 @@ def accepted(docs: DataFrame) -> DataFrame:
             columns[k] = pa.array([f if x is None else x for x, f in zip(columns[k].to_pylist(), found, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([f != "und" for f in found], pa.bool_()))
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, schema)
+    return docs.where("doc_id IS NOT NULL").mapInArrow(tidied(run), schema)
 
 
 def language_id(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:

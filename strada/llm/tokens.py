@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces in each of the two generations that a worker remembers; the older one is dropped when the newer is full.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Characters of the texts that are cut together.
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 _MARK = "\x01"
 
 
