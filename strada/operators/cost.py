@@ -146,11 +146,6 @@ def turn_cost(p: Profile, model: str = "time", avoid_toll: bool = False, avoid_f
     return F.when(open_, cost.cast("long"))
 
 
-def heuristic_ms(p: Profile, metres: Column) -> Column:
-    """A lower bound of the time over a straight line."""
-    return F.floor(metres * 3600.0 / p.max_speed).cast("long")
-
-
 def adjacency(turns: DataFrame, edges: DataFrame, p: Profile, model: str = "time", avoid_toll: bool = False, avoid_ferry: bool = False) -> DataFrame:
     """(from_en, to_en, turn, cost): open turns between segments that the profile may use; cost is the turn and the whole of to_en."""
     t = turns.withColumn("turn", turn_cost(p, model, avoid_toll, avoid_ferry)).where("turn IS NOT NULL").select("from_en", "to_en", "turn")

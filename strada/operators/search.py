@@ -5,13 +5,22 @@ of equal cost, in metres; ties of both take the smallest predecessor. Both numbe
 
 Two back-ends keep one contract. `arrow` searches each origin with a heap over a broadcast adjacency, and is used while
 the graph has at most BROADCAST_TURNS turns (counted, not assumed). `relational` relaxes all origins' frontiers by a join
-and a minimum per round, each round a table in the shared folder; it has no such bound. The four algorithm names that
-requests may give choose nothing but this: the paths are the same by definition.
+and a minimum per round, writing what a round improves in the shared folder; it has no such bound.
+
+shortest_paths() reaches whatever a budget allows; to_goals() stops as soon as all goals wanted from an origin are settled.
+A single goal can be searched by four algorithms that find the same weight: dijkstra, a_star, and both from the two ends at
+once. A* needs the segments' ends; its bound is the straight line times the least cost per metre of any turn and segment in
+the graph, so it holds for every profile and model.
+
+Cases. A seed on a segment without turns is reached and leads nowhere. Null costs, no turns, no seeds or no goals give no
+rows; repeated seeds count once, at their least weight; a goal that can't be reached has no row.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +30,9 @@ from pyspark.sql import functions as F
 from strada.steps import materialize, work_dir
 
 ALGORITHMS = ("dijkstra", "bidir_dijkstra", "a_star", "bidir_a_star")
-BROADCAST_TURNS, METRES = 5_000_000, 10_000_000
+BROADCAST_TURNS, BROADCAST_GOALS, METRES = 5_000_000, 1_000_000, 10_000_000
+#: Rounds of the relational back-end after which its improvements are merged into one table.
+MERGE = 8
 SCHEMA = "origin long, en_id long, cost long, metres long, pred long"
 
 
@@ -33,79 +44,282 @@ def _unpacked(df: DataFrame) -> DataFrame:
     return df.select("origin", "en_id", F.floor(F.col("w") / METRES).cast("long").alias("cost"), (F.col("w") % METRES).alias("metres"), "pred")
 
 
+def _metres(a, b, c, d):
+    """Straight metres between points in degrees, by numpy."""
+    a, b, c, d = (np.radians(x) for x in (a, b, c, d))
+    h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
+    return 12_742_000.0 * np.arcsin(np.sqrt(np.clip(h, 0.0, 1.0)))
+
+
 class Adjacency:
-    """The graph as arrays: out-turns of each segment in one run."""
+    """The graph as arrays: each segment's out-turns in one run, and its in-turns in another; ends: (en_id, lat, lon), for A*."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, ends: pa.Table | None = None):
         a, b, w = (t[c].to_numpy() for c in ("from_en", "to_en", "w"))
-        self.ids = np.unique(np.concatenate([a, b]))
+        self.ids = np.unique(np.concatenate([a, b])) if len(a) else np.zeros(0, dtype=np.int64)
+        a, b = np.searchsorted(self.ids, a), np.searchsorted(self.ids, b)
+        self.out, self.back = self._side(a, b, w), self._side(b, a, w)
+        self.place, self.rate = None, 0.0
+        if ends is not None and len(a):
+            ids, order = np.unique(ends["en_id"].to_numpy(), return_index=True)
+            at = order[np.minimum(np.searchsorted(ids, self.ids), len(ids) - 1)]
+            lat, lon = (ends[c].to_numpy()[at] for c in ("lat", "lon"))
+            self.place = array("d", lat.tobytes()), array("d", lon.tobytes())
+            far = _metres(lat[a], lon[a], lat[b], lon[b])
+            apart = far > 0
+            self.rate = float(((w // METRES)[apart] / far[apart]).min()) * (1 - 1e-9) if apart.any() else 0.0
+
+    @staticmethod
+    def _side(a, b, w) -> tuple[array, array, array]:
         order = np.lexsort((b, a))
-        self.to = np.searchsorted(self.ids, b[order])
-        self.w = w[order]
-        self.starts = np.searchsorted(a[order], self.ids), np.searchsorted(a[order], self.ids, side="right")
-
-    def search(self, seeds: list[tuple[int, int]], budget: int | None, targets: set[int] | None = None) -> list[tuple[int, int, int]]:
-        """(en_id, weight, pred or -1) reached from seeds (en_id, weight), in order of weight; budget bounds the cost; all targets reached end it."""
-        starts, ends = self.starts
-        best: dict[int, tuple[int, int]] = {}
-        heap: list[tuple[int, int, int]] = []
-        lost = []
-        for en, w in seeds:
-            k = int(np.searchsorted(self.ids, en))
-            if k < len(self.ids) and self.ids[k] == en:
-                heapq.heappush(heap, (w, -1, k))
-            else:
-                lost.append((en, w, -1))
-        left = None if targets is None else {int(np.searchsorted(self.ids, t)) for t in targets}
-        out = []
+        starts = np.searchsorted(a[order], np.arange((a.max() if len(a) else -1) + 2))
+        return tuple(array("q", np.asarray(x, dtype=np.int64).tobytes()) for x in (starts, b[order], w[order]))
+
+    def number(self, en: int) -> int | None:
+        k = int(np.searchsorted(self.ids, en))
+        return k if k < len(self.ids) and self.ids[k] == en else None
+
+    def search(self, seeds, budget: int | None = None, goals: dict[int, list] | None = None):
+        """(numbers of the segments settled from seeds (number, weight) in order, their weights, all predecessors, best by goal).
+
+        budget bounds the cost. goals: number -> [(goal, weight from there, segment it lies on)]; the search ends when the
+        best of each goal can't be bettered; best: goal -> (weight, segment it lies on, number of the last one before).
+        """
+        starts, to, step = self.out
+        most = math.inf if budget is None else (budget + 1) * METRES - 1
+        tentative: dict[int, int] = {}
+        pred: dict[int, int] = {}
+        heap = []
+        for k, w in seeds:
+            if w <= most and w < tentative.get(k, math.inf):
+                tentative[k], pred[k] = w, -1
+                heap.append((w, k))
+        heapq.heapify(heap)
+        pop, push, best, done = heapq.heappop, heapq.heappush, {}, {}
+        left = None if goals is None else {g for into in goals.values() for g, _, _ in into}
+        stop, last = math.inf, len(starts) - 1
         while heap:
-            w, pred, k = heapq.heappop(heap)
-            if k in best:
+            w, k = pop(heap)
+            if k in done:
                 continue
-            if budget is not None and w // METRES > budget:
+            if w > stop:
                 break
-            best[k] = (w, pred)
-            out.append((int(self.ids[k]), w, pred))
-            if left is not None:
-                left.discard(k)
+            done[k] = w
+            if left is not None and k in goals:
+                for g, more, on in goals[k]:
+                    best[g] = min(best.get(g, (math.inf,)), (w + more, on, k))
+                    left.discard(g)
                 if not left:
-                    break
-            own = int(self.ids[k])
-            for j in range(starts[k], ends[k]):
-                if (to := int(self.to[j])) not in best:
-                    heapq.heappush(heap, (w + int(self.w[j]), own, to))
-        return [x for x in lost if budget is None or x[1] // METRES <= budget] + out
+                    stop = max(x[0] for x in best.values())
+            if k >= last:
+                continue
+            for j in range(starts[k], starts[k + 1]):
+                v, x = to[j], w + step[j]
+                old = tentative.get(v, math.inf)
+                if x < old and x <= most:
+                    tentative[v], pred[v] = x, k
+                    push(heap, (x, v))
+                elif x == old and v not in done and k < pred[v]:
+                    pred[v] = k
+        return list(done), list(done.values()), pred, best
+
+    def _bound(self, targets: list[int]):
+        """A function that gives the least weight there can be between a segment's end and the nearest of the targets' ends."""
+        lat, lon = self.place
+        points = list({(math.radians(lat[k]), math.radians(lon[k]), math.cos(math.radians(lat[k]))) for k in targets})
+        known: dict[int, int] = {}
+        sin, radians, cos, rate = math.sin, math.radians, math.cos, self.rate * 12_742_000.0
+
+        def bound(k: int) -> int:
+            if (got := known.get(k)) is None:
+                a, b = radians(lat[k]), radians(lon[k])
+                ca = cos(a)
+                h = min(sin((c - a) / 2) ** 2 + ca * cc * sin((d - b) / 2) ** 2 for c, d, cc in points)
+                got = known[k] = int(rate * math.asin(math.sqrt(min(1.0, h)))) * METRES
+            return got
+
+        return bound
+
+    def pair(self, seeds, into: list[tuple[int, int, int]], algorithm: str):
+        """(weight, segment the goal lies on, path as numbers) from seeds (number, weight) to one goal, into: (number, weight from there, segment); None without a path."""
+        if not seeds or not into:
+            return None
+        two = algorithm.startswith("bidir")
+        zero = lambda k: 0
+        star = algorithm.endswith("a_star") and self.place is not None
+        ahead = self._bound([k for k, _, _ in into]) if star else zero
+        behind = self._bound([k for k, _ in seeds]) if star and two else zero
+        # keys are doubled weights: from both ends the average of the bounds keeps turns from getting negative
+        height = (lambda k: ahead(k) - behind(k)) if two else (lambda k: 2 * ahead(k))
+        sides = []
+        for first, (starts, to, step), sign in (([(k, w) for k, w in seeds], self.out, 1), ([(k, w) for k, w, _ in into], self.back, -1)):
+            label: dict[int, int] = {}
+            heap = []
+            for k, w in first:
+                if w < label.get(k, math.inf):
+                    label[k] = w
+                    heap.append((2 * w + sign * height(k), w, k))
+            heapq.heapify(heap)
+            sides.append((label, {k: -1 for k in label}, heap, starts, to, step, sign, set()))
+        ends: dict[int, tuple[int, int]] = {}
+        for k, w, on in into:
+            ends[k] = min(ends.get(k, (math.inf, 0)), (w, on))
+        least, meet = math.inf, -1
+        for k, w in sides[0][0].items():
+            if k in sides[1][0] and w + sides[1][0][k] < least:
+                least, meet = w + sides[1][0][k], k
+        while sides[0][2] and (not two or sides[1][2]):
+            tops = sides[0][2][0][0], sides[1][2][0][0] if two else 0
+            if tops[0] + tops[1] >= 2 * least:
+                break
+            own, other = (sides[0], sides[1]) if not two or tops[0] <= tops[1] else (sides[1], sides[0])
+            label, pred, heap, starts, to, step, sign, done = own
+            _, w, k = heapq.heappop(heap)
+            if k in done or w > label[k]:
+                continue
+            done.add(k)
+            if k + 1 >= len(starts):
+                continue
+            for j in range(starts[k], starts[k + 1]):
+                v, x = to[j], w + step[j]
+                if x < label.get(v, math.inf):
+                    label[v], pred[v] = x, k
+                    heapq.heappush(heap, (2 * x + sign * height(v), x, v))
+                    if v in other[0] and x + other[0][v] < least:
+                        least, meet = x + other[0][v], v
+        if meet < 0:
+            return None
+        path, k = [], meet
+        while k >= 0:
+            path.append(k)
+            k = sides[0][1][k]
+        path.reverse()
+        k = sides[1][1][meet] if two else -1
+        while k >= 0:
+            path.append(k)
+            k = sides[1][1][k]
+        return int(least), ends[path[-1]][1], path
+
+
+def _sent(graph: DataFrame, ends: DataFrame | None = None):
+    t = graph.where("w IS NOT NULL").select("from_en", "to_en", "w").toArrow()  # at most BROADCAST_TURNS turns
+    return graph.sparkSession.sparkContext.broadcast(Adjacency(t, None if ends is None or not len(t) else _ends_of(graph, ends).toArrow()))
+
+
+def _ends_of(graph: DataFrame, ends: DataFrame) -> DataFrame:
+    used = graph.select(F.explode(F.array("from_en", "to_en")).alias("en_id")).distinct()
+    return ends.join(used, "en_id", "left_semi").select("en_id", "lat", "lon")
 
 
 def _by_heap(graph: DataFrame, seeds: DataFrame, budget: int | None) -> DataFrame:
-    held = Adjacency(graph.select("from_en", "to_en", "w").toArrow())
-    sent = seeds.sparkSession.sparkContext.broadcast(held)  # at most BROADCAST_TURNS turns
+    sent = _sent(graph)
 
     def run(t: pa.Table) -> pa.Table:
-        found = sent.value.search(list(zip(t["en_id"].to_pylist(), t["w"].to_pylist(), strict=True)), budget)
-        pick = lambda k: pa.array([x[k] for x in found], pa.int64())
-        origin = pa.array([t["origin"][0].as_py()] * len(found), pa.int64())
-        return pa.table({"origin": origin, "en_id": pick(0), "w": pick(1), "pred": pick(2)})
+        g, known, lost = sent.value, [], {}
+        for en, w in zip(t["en_id"].to_pylist(), t["w"].to_pylist(), strict=True):
+            if (k := g.number(en)) is not None:
+                known.append((k, w))
+            elif budget is None or w // METRES <= budget:
+                lost[en] = min(w, lost.get(en, w))
+        done, weights, pred, _ = g.search(known, budget)
+        before = np.array([pred[k] for k in done], dtype=np.int64)
+        before = np.where(before < 0, -1, g.ids[before] if len(g.ids) else -1)
+        ids = np.concatenate([np.array(list(lost), dtype=np.int64), g.ids[done] if done else np.zeros(0, dtype=np.int64)])
+        return pa.table({"origin": pa.array(np.full(len(ids), t["origin"][0].as_py(), dtype=np.int64)), "en_id": ids, "w": np.array([*lost.values(), *weights], dtype=np.int64), "pred": np.concatenate([np.full(len(lost), -1, dtype=np.int64), before])})
 
     return seeds.select("origin", "en_id", "w").groupBy("origin").applyInArrow(run, "origin long, en_id long, w long, pred long")
 
 
+def _goals_by_heap(graph: DataFrame, seeds: DataFrame, into: DataFrame, pairs: DataFrame | None, algorithm: str | None, ends: DataFrame | None) -> DataFrame:
+    sent = _sent(graph, ends if algorithm and algorithm.endswith("a_star") else None)
+    table = into.select("goal", "from_en", "w", "goal_en").toArrow()  # at most BROADCAST_GOALS rows
+    goals = graph.sparkSession.sparkContext.broadcast({c: table[c].to_numpy() for c in table.column_names})
+    schema = "origin long, goal long, w long, to_en long, last_en long, path array<long>"
+
+    def found(origin: int, t: pa.Table, wanted: set | None) -> pa.Table:
+        g, h, rows = sent.value, goals.value, []
+        known = [(k, w) for en, w in zip(t["en_id"].to_pylist(), t["w"].to_pylist(), strict=True) if (k := g.number(en)) is not None]
+        use = np.ones(len(h["goal"]), dtype=bool) if wanted is None else np.isin(h["goal"], list(wanted))
+        at: dict[int, list] = {}
+        for goal, en, w, on in zip(*(h[c][use].tolist() for c in ("goal", "from_en", "w", "goal_en")), strict=True):
+            if (k := g.number(en)) is not None:
+                at.setdefault(k, []).append((goal, w, on))
+        if algorithm is None:  # one search for all
+            _, _, pred, best = g.search(known, None, at) if at else ([], [], {}, {})
+            for goal, (w, on, k) in best.items():
+                path = [k]
+                while wanted is not None and pred[path[-1]] >= 0:
+                    path.append(pred[path[-1]])
+                rows.append((goal, w, on, int(g.ids[k]), None if wanted is None else g.ids[path[::-1]].tolist()))
+        else:
+            by: dict[int, list] = {}
+            for k, ways in at.items():
+                for goal, w, on in ways:
+                    by.setdefault(goal, []).append((k, w, on))
+            for goal, ways in by.items():
+                if got := g.pair(known, ways, algorithm):
+                    rows.append((goal, got[0], got[1], int(g.ids[got[2][-1]]), g.ids[got[2]].tolist()))
+        pick = lambda k: pa.array([r[k] for r in rows], pa.int64())
+        return pa.table({"origin": pa.array([origin] * len(rows), pa.int64()), "goal": pick(0), "w": pick(1), "to_en": pick(2), "last_en": pick(3), "path": pa.array([r[4] for r in rows], pa.list_(pa.int64()))})
+
+    def both(t: pa.Table, p: pa.Table) -> pa.Table:
+        wanted = set(p["goal"].to_pylist())
+        return found(t["origin"][0].as_py() if len(t) else 0, t, wanted)
+
+    seeds = seeds.select("origin", "en_id", "w").groupBy("origin")
+    if pairs is None:
+        return seeds.applyInArrow(lambda t: found(t["origin"][0].as_py(), t, None), schema)
+    return seeds.cogroup(pairs.select("origin", "goal").groupBy("origin")).applyInArrow(both, schema)
+
+
+def to_goals(graph: DataFrame, seeds: DataFrame, into: DataFrame, pairs: DataFrame | None = None, algorithm: str | None = None, ends: DataFrame | None = None, backend: str | None = None) -> DataFrame:
+    """(origin, goal, cost, metres, to_en, last_en, path): the least way from each origin to its goals.
+
+    graph and seeds as for shortest_paths; into: (goal, goal_en, from_en, cost, metres), the segments from which a turn leads
+    into a segment that the goal lies on, and what is left from there; pairs: (origin, goal), all by default. path lists the
+    segments up to last_en, and is null for all pairs. algorithm: None for one search an origin, which ends with its last
+    goal, or one of ALGORITHMS for a search a pair.
+    """
+    graph, seeds, into = (df.withColumn("w", weight(F.col("cost"), F.col("metres"))) for df in (graph, seeds, into))
+    if backend is None:
+        small = graph.limit(BROADCAST_TURNS + 1).count() <= BROADCAST_TURNS and into.limit(BROADCAST_GOALS + 1).count() <= BROADCAST_GOALS
+        backend = "arrow" if small else "relational"
+    if backend == "arrow":
+        found = _goals_by_heap(graph, seeds, into, pairs, algorithm, ends)
+        return found.select("origin", "goal", F.floor(F.col("w") / METRES).cast("long").alias("cost"), (F.col("w") % METRES).alias("metres"), "to_en", "last_en", "path")
+    reached = materialize(shortest_paths(graph.drop("w"), seeds.drop("w"), backend=backend), f"{work_dir(graph.sparkSession)}/reached")
+    ways = reached.join(into.select("goal", "goal_en", "from_en", F.col("cost").alias("c"), F.col("metres").alias("m")), F.col("en_id") == F.col("from_en"))
+    if pairs is not None:
+        ways = ways.join(pairs.select("origin", "goal").distinct(), ["origin", "goal"], "left_semi")
+    best = ways.groupBy("origin", "goal").agg(F.min(F.struct((F.col("cost") + F.col("c")).alias("cost"), (F.col("metres") + F.col("m")).alias("metres"), F.col("goal_en").alias("to_en"), F.col("en_id").alias("last_en"))).alias("m"))
+    best = best.select("origin", "goal", "m.cost", "m.metres", "m.to_en", "m.last_en")
+    if pairs is None:
+        return best.withColumn("path", F.lit(None).cast("array<long>"))
+    parts = unroll(reached, best.select("origin", "goal", F.col("last_en").alias("en_id"))).groupBy("origin", "goal").agg(F.array_sort(F.collect_list(F.struct((-F.col("pos")).alias("k"), "en_id"))).alias("p"))
+    return best.join(parts.select("origin", "goal", F.transform("p", lambda x: x["en_id"]).alias("path")), ["origin", "goal"])
+
+
 def _by_rounds(graph: DataFrame, seeds: DataFrame, budget: int | None, rounds: int) -> DataFrame:
+    """Each round joins what the last one improved with the graph, and writes what that improves in turn; nothing else is
+    written, but for a merge of all improvements every MERGE rounds."""
     path = work_dir(graph.sparkSession)
     within = F.lit(True) if budget is None else F.floor(F.col("w") / METRES) <= budget
-    graph = materialize(graph.select("from_en", "to_en", F.col("w").alias("step")), f"{path}/graph")
-    start = seeds.where(within).groupBy("origin", "en_id").agg(F.min("w").alias("w"))
-    now = materialize(start.select("origin", "en_id", "w", F.lit(-1).cast("long").alias("pred"), F.lit(True).alias("new")), f"{path}/0")
+    graph = materialize(graph.where("w IS NOT NULL").select("from_en", "to_en", F.col("w").alias("step")), f"{path}/graph")
+    least = lambda df: df.groupBy("origin", "en_id").agg(F.min(F.struct("w", "pred")).alias("m")).select("origin", "en_id", "m.w", "m.pred")
+    start = seeds.where(within).groupBy("origin", "en_id").agg(F.min("w").alias("w")).withColumn("pred", F.lit(-1).cast("long"))
+    known = front = materialize(start.select("origin", "en_id", "w", "pred"), f"{path}/0")
     for k in range(1, rounds + 1):
-        reached = now.where("new").join(graph, F.col("en_id") == F.col("from_en"))
-        offered = reached.select("origin", F.col("to_en").alias("en_id"), (F.col("w") + F.col("step")).alias("w"), F.col("from_en").alias("pred"), F.lit(1).alias("fresh")).where(within)
-        both = now.select("origin", "en_id", "w", "pred", F.lit(0).alias("fresh")).unionByName(offered)
-        # a fresh row is news if it is better; of equals the older stays, but for a smaller predecessor
-        least = both.groupBy("origin", "en_id").agg(F.min(F.struct("w", "pred", "fresh")).alias("m"), F.min(F.when(F.col("fresh") == 0, F.col("w"))).alias("was"))
-        changed = F.col("was").isNull() | (F.col("m.w") < F.col("was"))
-        now = materialize(least.select("origin", "en_id", "m.w", "m.pred", changed.alias("new")), f"{path}/{k}")
-        if now.where("new").limit(1).count() == 0:
-            return now.drop("new")
+        offered = front.join(graph, F.col("en_id") == F.col("from_en")).select("origin", F.col("to_en").alias("en_id"), (F.col("w") + F.col("step")).alias("w"), F.col("from_en").alias("pred"))
+        held = known.groupBy("origin", "en_id").agg(F.min(F.struct("w", "pred")).alias("old"))
+        better = least(offered.where(within)).join(held, ["origin", "en_id"], "left")
+        # of equals a smaller predecessor counts, unless it leads on at no cost
+        news = F.col("old").isNull() | (F.col("w") < F.col("old.w")) | ((F.col("w") == F.col("old.w")) & (F.col("pred") < F.col("old.pred")) & (F.col("old.pred") >= 0))
+        front = materialize(better.where(news).select("origin", "en_id", "w", "pred"), f"{path}/{k}")
+        if front.limit(1).count() == 0:
+            return least(known)
+        known = known.unionByName(front)
+        if k % MERGE == 0:
+            known = materialize(least(known), f"{path}/known{k}")
     raise RuntimeError("the search did not settle")
 
 

@@ -23,7 +23,7 @@ def _options(request: dict) -> Options:
     cost.profile(request.get("profile"))
     if (a := str(request.get("algorithm", "bidir_a_star")).lower()) not in ALGORITHMS:
         raise InvalidRequest(f"unknown algorithm: {a}")
-    return Options(request.get("profile"), "time", bool(request.get("avoid_toll")), bool(request.get("avoid_ferry")))
+    return Options(request.get("profile"), "time", bool(request.get("avoid_toll")), bool(request.get("avoid_ferry")), algorithm=a if "algorithm" in request else None)
 
 
 def _head(request: dict) -> dict:

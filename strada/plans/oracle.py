@@ -218,9 +218,12 @@ FROM locs l LEFT JOIN (SELECT * FROM snaps QUALIFY row_number() OVER (PARTITION
     "sssp_distance": _with("SELECT origin, en AS en_id, CAST(w // 10000000 AS BIGINT) AS cost, CAST(w % 10000000 AS BIGINT) AS metres FROM sp", _graph("foot", "distance"), "RECURSIVE"),
     "matrix_pairs": _with("SELECT * FROM matrix", _matrix("car", "time"), "RECURSIVE"),
     "matrix_bike_distance": _with("SELECT * FROM matrix", _matrix("bike", "distance"), "RECURSIVE"),
+    "matrix_wanted_pairs": _with('SELECT * FROM matrix WHERE "to" - "from" IN (1, 2)', _matrix("car", "time"), "RECURSIVE"),
     "route_legs": _with("SELECT * FROM legs", f"{_matrix('car', 'time')}, {_LEGS}", "RECURSIVE"),
     "route_trip": _with("SELECT trip, count(*) AS n_legs, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, CAST(sum(length_m) AS BIGINT) AS length_m FROM legs GROUP BY trip", f"{_matrix('hgv', 'time')}, {_LEGS}", "RECURSIVE"),
     "route_avoid_toll": _with("SELECT * FROM legs", f"{_matrix('car', 'time', True)}, {_LEGS}", "RECURSIVE"),
     "isochrone_reach": _with("SELECT origin AS loc, v.value, en AS en_id, CAST(w // 10000000 AS BIGINT) AS cost FROM sp JOIN (VALUES (1.0::DOUBLE, 60000), (2.0::DOUBLE, 120000)) v(value, most) ON w // 10000000 <= most", _graph("car", "time"), "RECURSIVE"),
     "info": "SELECT 'Ok' AS status, '0.1.0' AS version, 'car,hgv,bike,foot' AS profiles",
 }
+ORACLES |= {f"legs_{a}": ORACLES["route_legs"] for a in ("dijkstra", "bidir_dijkstra", "a_star", "bidir_a_star")}
+ORACLES["isochrone_reach_joins"] = ORACLES["isochrone_reach"]

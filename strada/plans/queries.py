@@ -267,6 +267,13 @@ def matrix_pairs(s, d):
     return services.matrix(net(s, d), at, at, options=services.Options("car")).select("from", "to", "duration_ms", "length_m")
 
 
+def matrix_wanted_pairs(s, d):
+    """Every location to the next two, by one search an origin that ends with the second."""
+    at = derived.locations(s, d)
+    pairs = at.select(F.col("loc").alias("from"), F.explode(F.array(F.col("loc") + 1, F.col("loc") + 2)).alias("to")).join(at.select(F.col("loc").alias("to")), "to", "left_semi")
+    return services.matrix(net(s, d), at, at, pairs, services.Options("car")).select("from", "to", "duration_ms", "length_m")
+
+
 def matrix_bike_distance(s, d):
     at = derived.locations(s, d)
     return services.matrix(net(s, d), at, at, options=services.Options("bike", "distance")).select("from", "to", "duration_ms", "length_m")
@@ -281,6 +288,14 @@ def route_legs(s, d):
     return services.legs(net(s, d), _stops(s, d), services.Options("car")).select("trip", "leg", "from", "to", "duration_ms", "length_m")
 
 
+def _legs_by(algorithm: str):
+    def run(s, d):
+        return services.legs(net(s, d), _stops(s, d), services.Options("car", algorithm=algorithm)).select("trip", "leg", "from", "to", "duration_ms", "length_m")
+
+    run.__doc__ = f"Legs searched by {algorithm}."
+    return run
+
+
 def route_trip(s, d):
     return services.trips(services.legs(net(s, d), _stops(s, d), services.Options("hgv"))).select("trip", "n_legs", "duration_ms", "length_m")
 
@@ -299,6 +314,12 @@ def isochrone_reach(s, d):
     return out.select("loc", "value", "en_id", "cost")
 
 
+def isochrone_reach_joins(s, d):
+    """The same by joins, the back-end of graphs that aren't broadcast."""
+    out = services.isochrone_points(net(s, d), derived.locations(s, d), [2.0, 1.0, -1.0, 2.0], "min", services.Options("car", backend="relational"))
+    return out.select("loc", "value", "en_id", "cost")
+
+
 def isochrone_hull(s, d):
     return services.isochrone(net(s, d), derived.locations(s, d), [0.5, 1.5], "km", services.Options("foot")).select("loc", "value", "ring", "polygon")
 
@@ -326,9 +347,10 @@ QUERIES = {
     "traversal_cost_car": _traversal("car"), "traversal_cost_hgv": _traversal("hgv"), "traversal_cost_bike": _traversal("bike"), "traversal_cost_foot": _traversal("foot"), "traversal_distance": traversal_distance,
     "turn_cost": turn_cost, "country_speed_override": country_speed_override, "country_lookup": country_lookup, "traversal_with_countries": traversal_with_countries,
     "snap_with_ties": snap_with_ties, "nearest_node": nearest_node, "locate_meta": locate_meta,
-    "sssp_time": _sssp("time", "car"), "sssp_distance": _sssp("distance", "foot"), "matrix_pairs": matrix_pairs, "matrix_bike_distance": matrix_bike_distance,
+    "sssp_time": _sssp("time", "car"), "sssp_distance": _sssp("distance", "foot"), "matrix_pairs": matrix_pairs, "matrix_bike_distance": matrix_bike_distance, "matrix_wanted_pairs": matrix_wanted_pairs,
+    **{f"legs_{a}": _legs_by(a) for a in search.ALGORITHMS},
     "route_legs": route_legs, "route_trip": route_trip, "route_avoid_toll": route_avoid_toll, "route_paths": route_paths,
-    "isochrone_reach": isochrone_reach, "isochrone_hull": isochrone_hull, "network_hull": network_hull, "inspect_way": inspect_way, "info": info,
+    "isochrone_reach": isochrone_reach, "isochrone_reach_joins": isochrone_reach_joins, "isochrone_hull": isochrone_hull, "network_hull": network_hull, "inspect_way": inspect_way, "info": info,
 }
 
 

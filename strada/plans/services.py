@@ -8,7 +8,7 @@ on the same segment, with G ahead, the part between. Lengths are metres truncate
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -66,6 +66,7 @@ class Options:
     avoid_ferry: bool = False
     radius_m: float = snap.RADIUS
     backend: str | None = None
+    algorithm: str | None = None
 
 
 def info(spark: SparkSession) -> DataFrame:
@@ -102,33 +103,33 @@ def _seeds(snaps: DataFrame) -> DataFrame:
 
 
 def matrix(net: Network, origins: DataFrame, targets: DataFrame, pairs: DataFrame | None = None, options: Options = Options()) -> DataFrame:
-    """(from, to, duration_ms, length_m, from_en, to_en, last_en) of the pairs with a path; all pairs by default.
+    """(from, to, duration_ms, length_m, from_en, to_en, last_en, path) of the pairs with a path; all pairs by default.
 
     origins and targets: (loc, lat, lon); pairs: (from, to). A location and itself, or two with the same snaps, are 0 apart.
-    from_en and last_en are null where the path stays on one segment.
+    last_en and path are null where the way stays on one segment; path lists the segments up to last_en, if pairs are given.
+    One search an origin ends with the last of its goals; options.algorithm asks for a search a pair.
     """
     o, p = options, cost.profile(options.profile)
     path = work_dir(net.spark)
     graph = materialize(graph_of(net, o), f"{path}/graph")
     s = materialize(snapped(net, origins, o), f"{path}/from")
-    g = materialize(snapped(net, targets, o), f"{path}/to")
+    g = s if targets is origins else materialize(snapped(net, targets, o), f"{path}/to")
     if pairs is not None:
-        pairs = pairs.select(F.col("from").alias("origin"), F.col("to").alias("goal")).distinct()
-    reached = search.shortest_paths(graph.select("from_en", "to_en", "cost", "metres"), _seeds(s), backend=o.backend)
+        pairs = materialize(pairs.select(F.col("from").alias("origin"), F.col("to").alias("goal")).distinct(), f"{path}/pairs")
     goal = g.select(F.col("loc").alias("goal"), F.col("en_id").alias("goal_en"), "behind", "behind_m")
     into = goal.join(graph.select("from_en", F.col("to_en").alias("goal_en"), "turn"), "goal_en")
-    over = reached.join(into, F.col("en_id") == F.col("from_en")).select(
-        "origin", "goal", (F.col("cost") + F.col("turn") + F.col("behind")).alias("cost"), (F.col("metres") + F.col("behind_m")).alias("metres"), F.col("goal_en").alias("to_en"), F.col("en_id").alias("last_en")
-    )
+    into = materialize(into.select("goal", "goal_en", "from_en", (F.col("turn") + F.col("behind")).alias("cost"), F.col("behind_m").alias("metres")), f"{path}/into")
+    end = F.element_at("points", -1)
+    ends = net.edges.select("en_id", end["lat"].alias("lat"), end["lon"].alias("lon"))
+    over = search.to_goals(graph.select("from_en", "to_en", "cost", "metres"), _seeds(s), into, pairs, o.algorithm if pairs is not None else None, ends, o.backend)
     here = s.select(F.col("loc").alias("origin"), "en_id", "speed", "toll", F.col("behind_m").alias("from_m"), F.col("fraction").alias("from_f"))
     there = g.select(F.col("loc").alias("goal"), "en_id", F.col("behind_m").alias("to_m"), F.col("fraction").alias("to_f"))
     ahead = F.greatest(F.lit(0), F.col("to_m") - F.col("from_m")).cast("long")
-    along = here.join(there, "en_id").where("to_f >= from_f").select("origin", "goal", _part(p, o, ahead).alias("cost"), ahead.alias("metres"), F.col("en_id").alias("to_en"), F.lit(None).cast("long").alias("last_en"))
-    ways = over.unionByName(along)
+    along = here.join(there, "en_id").where("to_f >= from_f").select("origin", "goal", _part(p, o, ahead).alias("cost"), ahead.alias("metres"), F.col("en_id").alias("to_en"), F.lit(None).cast("long").alias("last_en"), F.lit(None).cast("array<long>").alias("path"))
     if pairs is not None:
-        ways = ways.join(pairs, ["origin", "goal"], "left_semi")
-    best = ways.groupBy("origin", "goal").agg(F.min(F.struct("cost", "metres", "to_en", "last_en")).alias("m"))
-    return best.select(F.col("origin").alias("from"), F.col("goal").alias("to"), F.col("m.cost").alias("duration_ms"), F.col("m.metres").alias("length_m"), F.col("m.to_en").alias("to_en"), F.col("m.last_en").alias("last_en"))
+        along = along.join(pairs, ["origin", "goal"], "left_semi")
+    best = over.unionByName(along).groupBy("origin", "goal").agg(F.min(F.struct("cost", "metres", "to_en", "last_en", "path")).alias("m"))
+    return best.select(F.col("origin").alias("from"), F.col("goal").alias("to"), F.col("m.cost").alias("duration_ms"), F.col("m.metres").alias("length_m"), F.col("m.to_en").alias("to_en"), F.col("m.last_en").alias("last_en"), F.col("m.path").alias("path"))
 
 
 def check_pairs(pairs: list[tuple[int, int]], n_from: int, n_to: int) -> None:
@@ -137,12 +138,16 @@ def check_pairs(pairs: list[tuple[int, int]], n_from: int, n_to: int) -> None:
             raise InvalidRequest(f"the pair ({a}, {b}) is out of range")
 
 
+def _by_pair(o: Options) -> Options:
+    return o if o.algorithm else replace(o, algorithm="bidir_a_star")
+
+
 def legs(net: Network, stops: DataFrame, options: Options = Options()) -> DataFrame:
     """(trip, leg, from, to, duration_ms, length_m) of each trip's consecutive stops (trip, pos, loc, lat, lon); legs without a path are left out."""
     by = W.partitionBy("trip").orderBy("pos")
     each = stops.select("trip", "pos", F.col("loc").alias("from"), F.lead("loc").over(by).alias("to")).where("to IS NOT NULL")
     places = stops.select("loc", "lat", "lon").dropDuplicates(["loc"])
-    found = matrix(net, places, places, each.select("from", "to"), options)
+    found = matrix(net, places, places, each.select("from", "to"), _by_pair(options))
     return each.join(found, ["from", "to"]).select("trip", F.col("pos").alias("leg"), "from", "to", "duration_ms", "length_m")
 
 
@@ -162,17 +167,12 @@ def route(net: Network, stops: DataFrame, options: Options = Options(), with_pat
     each = stops.select("trip", "pos", F.col("loc").alias("from"), F.lead("loc").over(by).alias("to")).where("to IS NOT NULL")
     places = stops.select("loc", "lat", "lon").dropDuplicates(["loc"])
     s = materialize(snapped(net, places, o), f"{path}/snaps")
-    found = materialize(matrix(net, places, places, each.select("from", "to"), o), f"{path}/matrix")
-    graph = graph_of(net, o).select("from_en", "to_en", "cost", "metres")
-    reached = materialize(search.shortest_paths(graph, _seeds(s), backend=o.backend), f"{path}/reached")
-    goals = found.where("last_en IS NOT NULL").select(F.col("from").alias("origin"), F.col("to").alias("goal"), F.col("last_en").alias("en_id"))
-    back = search.unroll(reached, goals)
+    found = materialize(matrix(net, places, places, each.select("from", "to"), _by_pair(o)), f"{path}/matrix")
     points = net.edges.select("en_id", "points")
     at = s.select("loc", "en_id", "lat", "lon", "fraction")
-    most = back.groupBy("origin", "goal").agg(F.max("pos").alias("first"))
-    lines = back.join(most, ["origin", "goal"]).join(points, "en_id")
+    lines = found.select(F.col("from").alias("origin"), F.col("to").alias("goal"), F.size("path").alias("n"), F.posexplode("path").alias("pos", "en_id")).join(points, "en_id")
     lines = lines.join(at.select(F.col("loc").alias("origin"), "en_id", F.col("fraction").alias("f0")), ["origin", "en_id"], "left")
-    body = lines.select("origin", "goal", (-F.col("pos")).alias("k"), _cut(F.col("points"), F.when(F.col("pos") == F.col("first"), F.coalesce("f0", F.lit(0.0))).otherwise(0.0), F.lit(1.0)).alias("line"))
+    body = lines.select("origin", "goal", (F.col("pos") - F.col("n")).cast("long").alias("k"), _cut(F.col("points"), F.when(F.col("pos") == 0, F.coalesce("f0", F.lit(0.0))).otherwise(0.0), F.lit(1.0)).alias("line"))
     ends = found.select(F.col("from").alias("origin"), F.col("to").alias("goal"), F.col("to_en").alias("en_id"), F.col("last_en").isNull().alias("same")).join(points, "en_id")
     ends = ends.join(at.select(F.col("loc").alias("goal"), "en_id", F.col("fraction").alias("f1")), ["goal", "en_id"]).join(at.select(F.col("loc").alias("origin"), "en_id", F.col("fraction").alias("f0")), ["origin", "en_id"], "left")
     tail = ends.select("origin", "goal", F.lit(1).cast("long").alias("k"), _cut(F.col("points"), F.when(F.col("same"), F.col("f0")).otherwise(0.0), F.col("f1")).alias("line"))
@@ -181,7 +181,7 @@ def route(net: Network, stops: DataFrame, options: Options = Options(), with_pat
     whole = whole.select(F.col("origin").alias("from"), F.col("goal").alias("to"), line.alias("line"))
     b = geo.box(F.transform("line", lambda q: q["lat"]), F.transform("line", lambda q: q["lon"]))
     whole = whole.select("from", "to", b.alias("bounds"), (polyline.encode(F.col("line")) if with_path else F.lit(None).cast("string")).alias("path"))
-    return each.join(found, ["from", "to"]).join(whole, ["from", "to"]).select("trip", F.col("pos").alias("leg"), "from", "to", "duration_ms", "length_m", "bounds", "path")
+    return each.join(found.drop("path"), ["from", "to"]).join(whole, ["from", "to"]).select("trip", F.col("pos").alias("leg"), "from", "to", "duration_ms", "length_m", "bounds", "path")
 
 
 def _without_repeats(points):
