@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import html as _html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +55,49 @@ _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Open:
+    """An open element, with what its descendants need to know of it and its ancestors; made from its parent's in constant time."""
+
+    __slots__ = ("name", "words", "own_hidden", "up", "tags", "kinds", "last", "tag", "hidden", "linked", "article", "place")
+
+    def __init__(self, name: str, words: tuple[str, ...], hidden: bool, up: Open | None, places: dict):
+        self.name, self.words, self.own_hidden, self.up = name, words, hidden, up
+        tags, kinds, last, self.tag = (up.tags, up.kinds, up.last, up.tag) if up else (frozenset(), frozenset(), (), "")
+        self.tags = tags | {name} if name in _KNOWN and name not in tags else tags
+        new = {kind for w in words for kind in _KIND_OF.get(w, ())}
+        self.kinds = kinds | new if new - kinds else kinds
+        if name in BLOCKS:
+            last, self.tag = (*last[-2:], name), name
+        self.last = last
+        self.hidden = hidden or (up.hidden if up else False)
+        self.linked = name == "a" or (up.linked if up else False)
+        self.article = name in ("article", "main") or (up.article if up else False)
+        self.place = places.setdefault((up.place if up else 0, name), len(places) + 1)
+
+
 class Block:
-    __slots__ = ("path", "names", "text", "linked", "tag", "hidden")
+    """A leaf block: its text, how much of it is linked, and the innermost element that is open around it."""
+
+    __slots__ = ("text", "linked", "at")
 
-    def __init__(self, path: tuple[str, ...], names: tuple[str, ...], text: str, linked: int, hidden: bool):
-        self.path, self.names, self.text, self.linked, self.hidden = path, names, text, linked, hidden
-        self.tag = next((t for t in reversed(path) if t in BLOCKS), "")
+    def __init__(self, at: Open | None, text: str, linked: int):
+        self.at, self.text, self.linked = at, text, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self.at
+        while at:
+            out.append(at.name)
+            at = at.up
+        return tuple(reversed(out))
+
+    @property
+    def tag(self) -> str:
+        return self.at.tag if self.at else ""
+
+    @property
+    def hidden(self) -> bool:
+        return self.at is not None and self.at.hidden
 
 
 def _ends(page: str, name: str) -> dict[int, int]:
@@ -82,7 +120,9 @@ def _ends(page: str, name: str) -> dict[int, int]:
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in its order, their character references decoded and white space normalised."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    stack: list[Open] = []
+    count: Counter[str] = Counter()
+    places: dict[tuple[int, str], int] = {}
     parts: list[str] = []
     state = {"linked": 0}
     ends: dict[str, dict[int, int]] = {}
@@ -92,15 +132,26 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                names = tuple(dict.fromkeys(n for _, ns, _ in stack for n in ns))
-                out.append(Block(tuple(t for t, _, _ in stack), names, text, state["linked"], any(h for _, _, h in stack)))
+                out.append(Block(stack[-1] if stack else None, text, state["linked"]))
             parts.clear()
         state["linked"] = 0
 
+    def push(name: str, words: tuple[str, ...] = (), hidden: bool = False) -> None:
+        stack.append(Open(name, words, hidden, stack[-1] if stack else None, places))
+        count[name] += 1
+
+    def pop() -> Open:
+        count[stack[-1].name] -= 1
+        return stack.pop()
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            pop()
+
     def close(k: int) -> None:
-        if any(t in BLOCKS for t, _, _ in stack[k:]):
+        if any(stack[j].name in BLOCKS for j in range(k, len(stack))):
             flush()
-        del stack[k:]
+        cut(k)
 
     at, n = 0, len(page)
     while at < n:
@@ -112,26 +163,29 @@ def blocks_of(page: str) -> list[Block]:
             if held is None and (raw[0] != "<" or raw == "<"):
                 text = _html.unescape(raw)
                 parts.append(text)
-                if any(t == "a" for t, _, _ in stack):
+                if stack and stack[-1].linked:
                     state["linked"] += len(text.strip())
             continue
         name = name.lower()
         if m.group(1):
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name) if count[name] else None
             if held is not None and k is not None and k <= held:
-                del stack[held:]
+                cut(held)
                 held = None
                 if k == len(stack):
                     continue
-            if k is not None and (name in BLOCKS or not any(t in BLOCKS for t, _, _ in stack[k + 1 :])):
+            if k is not None and (name in BLOCKS or not any(stack[j].name in BLOCKS for j in range(k + 1, len(stack)))):
                 close(k)
             elif k is not None:  # an inline element that a block has cut through
-                del stack[k]
+                above = stack[k + 1 :]
+                cut(k)
+                for e in above:
+                    push(e.name, e.words, e.own_hidden)
             continue
         if held is not None:
-            inside = stack[held][0]
+            inside = stack[held].name
             if (name in BLOCKS and name not in STANDS.get(inside, ())) or (inside in ("svg", "math") and name in _BREAKOUT):
-                del stack[held:]
+                cut(held)
                 held = None
         if name == "head":  # what may stand in it is dropped by itself; anything else ends it
             continue
@@ -150,11 +204,11 @@ def blocks_of(page: str) -> list[Block]:
                 at = max(at, ends[name][begin])
             elif held is None:
                 held = len(stack)
-                stack.append((name, (), False))
+                push(name)
             continue
         if held is not None:
             if name not in VOID and name not in BLOCKS and not m.group(3).rstrip().endswith("/"):
-                stack.append((name, (), False))
+                push(name)
             continue
         if name == "br":
             parts.append(" ")
@@ -165,13 +219,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCKS:
             flush()
-            while stack and stack[-1][0] not in BLOCKS:  # an inline element doesn't go on into the next block
-                stack.pop()
-            if name in _ENDS_P and stack and stack[-1][0] == "p":
-                stack.pop()
+            while stack and stack[-1].name not in BLOCKS:  # an inline element doesn't go on into the next block
+                pop()
+            if name in _ENDS_P and stack and stack[-1].name == "p":
+                pop()
             for other in CLOSES.get(name, ()):
-                if stack and stack[-1][0] == other:
-                    stack.pop()
+                if stack and stack[-1].name == other:
+                    pop()
         names, hidden = [], False
         if m.group(3):
             for a in _ATTRIBUTE.finditer(m.group(3)):
@@ -181,7 +235,7 @@ def blocks_of(page: str) -> list[Block]:
                 elif kind == "hidden" or (kind == "aria-hidden" and value.lower() == "true") or (kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                     hidden = True
         if not m.group(3).rstrip().endswith("/") or name in BLOCKS:
-            stack.append((name, tuple(names), hidden))
+            push(name, tuple(names), hidden)
     flush()
     return out
 
@@ -204,6 +258,7 @@ for _kind, _words in _KINDS.items():
     for _w in _words.split():
         _KIND_OF.setdefault(_w, []).append(_kind)
 _TAGS = "nav header footer aside form article main section table ul ol li p h1 h2 h3 h4 h5 h6 blockquote pre figcaption figure td dt dd div button label address body".split()
+_KNOWN = frozenset(_TAGS)
 _TALK = re.compile(r"\b(cookies?|subscribe|newsletter|sign (?:in|up)|log ?in|privacy|terms|all rights reserved|advertisement|sponsored|share|comments?|reply|follow us|read more)\b|©", re.I)
 
 
@@ -212,10 +267,11 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
     out = []
     for k, b in enumerate(blocks):
         f = ["bias", f"tag={b.tag}"]
-        f += [f"in={t}" for t in set(b.path) if t in _TAGS]
-        for depth, t in enumerate(reversed([t for t in b.path if t in BLOCKS][-3:])):
-            f.append(f"up{depth}={t}")
-        f += [f"kind={kind}" for kind in {kind for n in b.names for kind in _KIND_OF.get(n, ())}]
+        if b.at:
+            f += [f"in={t}" for t in b.at.tags]
+            for depth, t in enumerate(reversed(b.at.last)):
+                f.append(f"up{depth}={t}")
+            f += [f"kind={kind}" for kind in b.at.kinds]
         n = len(b.text)
         words = b.text.count(" ") + 1
         f.append(f"len={0 if n < 15 else 1 if n < 40 else 2 if n < 100 else 3 if n < 300 else 4}")
@@ -226,10 +282,10 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
         f.append(f"wording={bool(_TALK.search(b.text))}{words < 12}")
         if b.hidden:
             f.append("hidden")
-        if not any(t in ("article", "main") for t in b.path):
+        if not (b.at and b.at.article):
             f.append("outside")
         f.append(f"before={blocks[k - 1].tag == b.tag if k else 'first'}")
-        f.append(f"same={blocks[k - 1].path == b.path if k else 'first'}")
+        f.append(f"same={(blocks[k - 1].at.place if blocks[k - 1].at else 0) == (b.at.place if b.at else 0) if k else 'first'}")
         out.append(f)
     return out
 

@@ -10,8 +10,9 @@ Targets are given by dimension as {value: share}, or by a power: each value's sh
 power, renormalised (1: as it is; 0: all alike). Values without a target keep nothing. Tokens are words here; a topic is a
 class of the wording: `legal` with the text of a licence, `data` with long digit runs or addresses, `prose` otherwise.
 
-Documents are summed to cells before any shuffle; the table of cells holds one short row per combination that occurs, and
-is raked in one task as long as it has at most CELLS rows, in more beyond.
+Documents are summed to cells before any shuffle; the table of cells holds one short row per combination of source, language
+and topic that occurs, and is raked in one task, whose windows take all cells: it grows with the combinations, not with
+the documents.
 
 Cases. Null text is empty (0 tokens, topic prose); null source or lang is a value of its own, ''. Rows with a null doc_id
 are left out; rows that repeat a doc_id fare alike if their cells are the same. A cell without tokens has probability 1.

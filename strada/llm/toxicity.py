@@ -9,7 +9,7 @@ of it and of the weight per 100 words (the length norm) is the score.
 The lexicon is learned. Of the labelled rows that aren't held out, a bounded sample (POSITIVE and NEGATIVE rows on average,
 by a hash of doc_id) is folded; words in at least LEAST toxic rows with a log odds of at least ODDS are candidates, and so
 are stems, the first STEM letters of longer words, which match whatever ends the word. Those that only go along with others
-are left out by greedy cover: the word or stem that explains the most toxic rows is taken, those rows are set aside, and so
+(at most MOST candidates, those in the most toxic rows, are looked at) are left out by greedy cover: the word or stem that explains the most toxic rows is taken, those rows are set aside, and so
 on while one explains GAIN rows more. A weight is a log odds.
 
 Cases. Null text is empty; an empty text has no weight and scores as any text without a match. With no labelled row of

@@ -38,8 +38,9 @@ def sha1_of(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
+def record_id(page_id: int, digest: str, k: int = 0) -> str:
+    """Of a page's k-th row with a payload; each record of an archive has its own, and a response's can be told from its page_id and digest."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}:{digest}:{k}')}>"
 
 
 def _line(text: str) -> str:
@@ -47,17 +48,17 @@ def _line(text: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else "%%%02X" % ord(c) for c in text)
 
 
-def make_record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def make_record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, date: str, k: int = 0) -> bytes:
     """A gzip member with one record."""
     status = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = status if refers_to is not None else status + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, k)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {_line(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_of(block)}",
         "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", f"WARC-Page-ID: {page_id}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", compresslevel=6, mtime=0)
 
 
@@ -91,14 +92,19 @@ def plan(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
     return own.select("page_id", F.lit(1).alias("mark"), "url", "html", digest.alias("digest"), F.lit(None).cast("long").alias("refers_to")).unionByName(revisits)
 
 
-def marked(rows):
-    """(page_id, url, html, digest, refers_to) of the sorted rows of plan()."""
-    at, refers = None, {}
+def marked(rows, least: int = 0):
+    """(page_id, url, html, digest, refers_to, k) of the sorted rows of plan(); k counts the rows of a page_id with one payload.
+
+    Of rows that repeat a page_id and its payload the first in the order of url is the page's; the others refer to what it
+    refers to, or to itself.
+    """
+    at, refers, seen = None, {}, {}
     for page_id, mark, url, html, digest, refers_to in rows:
         if page_id != at:
-            at, refers = page_id, {}
+            at, refers, seen = page_id, {}, {}
         if mark:
-            yield page_id, url, html, digest, refers.get(digest)
+            k = seen[digest] = seen.get(digest, -1) + 1
+            yield page_id, url, html, digest, refers.get(digest, page_id if k and len(html) >= least else None), k
         else:
             refers[digest] = refers_to
 
@@ -108,14 +114,14 @@ def write(pages: DataFrame, path: str, folder: str, least: int = 0, roll: int =
 
     def run(batches):
         part, shard = TaskContext.get().partitionId(), 0
-        rows = marked(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        rows = marked((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), least)
         held = next(rows, None)
         while held is not None:
             name, n, size = f"part-{part:06d}-{shard:04d}.warc.gz", 0, 0
             with files.committed(f"{folder}/{name}") as f:
                 while held is not None and size < roll:
-                    page_id, url, html, digest, refers_to = held
-                    data = make_record(page_id, url, html, base64.b32encode(digest).decode(), refers_to, date)
+                    page_id, url, html, digest, refers_to, k = held
+                    data = make_record(page_id, url, html, base64.b32encode(digest).decode(), refers_to, date, k)
                     f.write(data)
                     n, size = n + 1, size + len(data)
                     held = next(rows, None)

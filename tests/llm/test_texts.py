@@ -1,3 +1,4 @@
+import time
 import random
 import zlib
 
@@ -225,3 +226,10 @@ def test_without_a_model_every_document_with_a_letter_is_accepted(docs):
     kept = language.accepted(docs.withColumn("lang", F.lit(None).cast("string")))
     assert kept.columns == docs.columns and kept.where("lang IS NOT NULL").count() == 0
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows() if r[0] not in (None, 3, 4, 5, 14))
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<svg/>x", "<b>x", "</i>x", "<p class=menu>x", "<a>x</a><li>"])
+def test_deep_and_long_pages_take_time_in_proportion(piece):
+    began = time.process_time()
+    html_text.features_of(html_text.blocks_of(piece * 100_000))
+    assert time.process_time() - began < 60

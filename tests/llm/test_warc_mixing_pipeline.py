@@ -1,3 +1,4 @@
+import gzip
 import base64
 import hashlib
 import os
@@ -151,3 +152,16 @@ def test_distinct_texts_of_one_doc_id_survive_both_dedups(spark, tmp_path):
     near = spark.createDataFrame([*want, (9, b + " tail", "en"), (5, c + " tail", "en")], docs.schema)
     got = sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, near, str(tmp_path)).collect()))
     assert len(got) == 3 and {(5, b, "en"), (7, a.upper(), "en")} < set(got)
+
+
+def test_rows_that_repeat_a_page_and_its_payload_have_one_response(spark, path):
+    data = [(1, "a", "<p>x"), (1, "b", "<p>x"), (1, "c", "<p>y"), (0, "d", "<p>x"), (0, "d", "<p>x"), (2, "e", "<p>y")]
+    warc.write(pages(spark, data), path, f"{path}/warc")
+    got = sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in warc.read(spark, f"{path}/warc").collect())
+    assert got == [(0, "d", "revisit", 1), (0, "d", "revisit", 1), (1, "a", "response", None), (1, "b", "revisit", 1), (1, "c", "revisit", 2), (2, "e", "response", None)]
+    folder, ids = f"{path}/warc".removeprefix("file://"), []
+    for name in os.listdir(folder):
+        if name.endswith(".gz"):
+            with gzip.open(f"{folder}/{name}") as f:
+                ids += [line for line in f.read().split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(set(ids)) == len(data)
