@@ -22,7 +22,7 @@ HIGHWAY = {k: [k] for k in ["motorway", "trunk", "primary", "secondary", "tertia
     "pedestrian": ["pedestrian", "crossing", "steps"], "busway": ["busway", "platform"],
     "no": ["no", "construction", "proposed", "emergency_bay", "corridor", "raceway", "via_ferrata", "abandoned", "disused", "escape", "bus_guideway"],
 }
-ONEWAY = {"no": ["no", "disabled", "false"], "yes": ["yes", "recommended", "true"], "reverse": ["reverse", "-1"], "alternating": ["alternating", "reversivle", "conditional"]}
+ONEWAY = {"no": ["no", "disabled", "false"], "yes": ["yes", "recommended", "true"], "reverse": ["reverse", "-1"], "alternating": ["alternating", "reversivle", "reversible", "conditional"]}
 SMOOTHNESS = {"excellent": 1, "good": 2, "intermediate": 2, "bad": 4, "very_bad": 5, "horrible": 6, "very_horrible": 6, "impassable": 7}
 TRACKTYPE = {"grade1": 2, "grade2": 3, "grade3": 4, "grade4": 5, "grade5": 6}
 SURFACE = {
@@ -275,7 +275,7 @@ def way_meta(way: Column) -> Column:
     )
 
 
-def expand_directions(ways):
+def expand_directions(ways, named: dict[str, int] | None = None):
     """One row per direction of travel of each way that isn't excluded: dir 1 along the nodes, -1 against them.
 
     A oneway has its own direction; with a bicycle contraflow the other one too, open to bicycles alone.
@@ -283,7 +283,7 @@ def expand_directions(ways):
     t = F.col("tags")
     one, reverse, contraflow = F.col("flags").bitwiseAND(F.lit(WAY_ONEWAY)) != 0, F.col("reverse"), F.col("contraflow")
     out = ways.where(~way_excluded(t)).select(
-        "*", highway_class(t).alias("class"), surface_quality(t).alias("surface"), way_flags(t).alias("flags"), speeds(t).alias("speed"), dimensions(t).alias("dim"),
+        "*", highway_class(t).alias("class"), surface_quality(t).alias("surface"), way_flags(t).alias("flags"), speeds(t, named).alias("speed"), dimensions(t).alias("dim"),
         oneway_reverse(t).alias("reverse"), bicycle_contraflow(t).alias("contraflow"), access_mask(t, True).alias("fwd"), access_mask(t, False).alias("bwd"),
     )
     main = F.when(reverse, -1).otherwise(1)

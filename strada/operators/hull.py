@@ -10,42 +10,47 @@ from pyspark.sql import functions as F
 def convex_hull(points) -> list[tuple[float, float]]:
     """The strict hull, closed (its first point again at the end), counter-clockwise from the smallest point.
 
-    Points are compared relative to the middle of their bounds, where differences of large coordinates keep their digits.
-    None give none; one gives it twice; two give a line and back.
+    Points are parted by the line from the smallest to the largest; the one farthest to the right of a line is a corner, and
+    only what lies outside the two new lines is looked at further. None give none; one gives it twice; two, or points on one
+    line, give a line and back.
     """
-    pts = sorted({(float(x), float(y)) for x, y in points})
+    pts = {(float(x), float(y)) for x, y in points}
     if len(pts) < 3:
-        return [*pts, *pts[:1]]
-    mx, my = (pts[0][0] + pts[-1][0]) / 2, (pts[0][1] + pts[-1][1]) / 2
-
-    def turns_left(o, a, b) -> bool:
-        return ((a[0] - mx) - (o[0] - mx)) * ((b[1] - my) - (o[1] - my)) - ((a[1] - my) - (o[1] - my)) * ((b[0] - mx) - (o[0] - mx)) > 0
-
-    chains = []
-    for ordered in (pts, pts[::-1]):
-        chain: list = []
-        for p in ordered:
-            while len(chain) > 1 and not turns_left(chain[-2], chain[-1], p):
-                chain.pop()
-            chain.append(p)
-        chains.append(chain[:-1])
-    ring = chains[0] + chains[1]
-    return [*ring, ring[0]]
-
-
-def hulls(points: DataFrame, keys: list[str], x: str = "lat", y: str = "lon", salts: int = 16) -> DataFrame:
-    """One row per group: keys and ring, array<struct<lat, lon>>. A hull of hulls: each group is cut into salted parts
-    whose hulls are taken first, so that the second step sees hull points only, however many points a group has."""
+        return [*sorted(pts), *sorted(pts)[:1]]
+    first, last = min(pts), max(pts)
+    ring = [first]
+    todo = [(last, first, pts), (first, last, pts)]  # lines still to be bent outwards, the next one on top
+    while todo:
+        a, b, among = todo.pop()
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        outside = [(off, (p[0] - a[0]) * dx + (p[1] - a[1]) * dy, p) for p in among if (off := (p[0] - a[0]) * dy - (p[1] - a[1]) * dx) > 0]
+        if outside:
+            corner, rest = max(outside)[2], [p for _, _, p in outside]
+            todo += [(corner, b, rest), (a, corner, rest)]
+        else:
+            ring.append(b)
+    return ring
+
+
+def hulls(points: DataFrame, keys: list[str], x: str = "lat", y: str = "lon") -> DataFrame:
+    """One row per group: keys and ring, array<struct<lat, lon>>. Each batch of rows is cut down to its groups' corners before
+    the shuffle, so that a group's task sees corners only, however many points a group has. Null coordinates are left out;
+    an empty table gives no rows."""
     fields = [f for f in points.schema if f.name in keys]
     names = [f.name for f in fields]
+    own = points.select(*names, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def corners(batches):
+        for b in batches:
+            groups: dict[tuple, list] = {}
+            for *key, p, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                groups.setdefault(tuple(key), []).append((p, q))
+            rows = [(*key, p, q) for key, held in groups.items() for p, q in dict.fromkeys(convex_hull(held))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(b.schema)], b.schema.names)
 
     def run(t: pa.Table) -> pa.Table:
         ring = convex_hull(zip(t["x"].to_pylist(), t["y"].to_pylist(), strict=True))
         return pa.table({**{n: t[n].slice(0, 1) for n in names}, "ring": pa.array([[{"lat": a, "lon": b} for a, b in ring]], pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())])))})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ring array<struct<lat:double,lon:double>>"
-    own = points.select(*names, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(salts)))
-    first = salted.groupBy(*names, "salt").applyInArrow(run, schema)
-    corners = first.select(*names, F.explode("ring").alias("p")).select(*names, F.col("p.lat").alias("x"), F.col("p.lon").alias("y"))
-    return corners.groupBy(*names).applyInArrow(run, schema)
+    return own.mapInArrow(corners, f"{schema}, x double, y double").groupBy(*names).applyInArrow(run, f"{schema}, ring array<struct<lat:double,lon:double>>")

@@ -19,11 +19,11 @@ from strada.sources import files
 PREFIX = "/api/v1"
 
 
-def _options(request: dict) -> Options:
+def _options(net: Network, request: dict) -> Options:
     cost.profile(request.get("profile"))
     if (a := str(request.get("algorithm", "bidir_a_star")).lower()) not in ALGORITHMS:
         raise InvalidRequest(f"unknown algorithm: {a}")
-    return Options(request.get("profile"), "time", bool(request.get("avoid_toll")), bool(request.get("avoid_ferry")), algorithm=a if "algorithm" in request else None)
+    return Options(request.get("profile"), "time", bool(request.get("avoid_toll")), bool(request.get("avoid_ferry")), net.max_radius_m, algorithm=a if "algorithm" in request else None)
 
 
 def _head(request: dict) -> dict:
@@ -69,7 +69,7 @@ def locate(net: Network, request: dict) -> dict:
     _need(request, "locations")
     unit = request.get("units", "km")
     at = files.locations(net.spark, request["locations"], unit)
-    found = services.locate(net, at, unit, request.get("with_meta", "None"), _options(request))
+    found = services.locate(net, at, unit, request.get("with_meta", "None"), _options(net, request))
     given = files.places(request["locations"])
     rows = sorted(_all(found), key=lambda r: r["loc"])
     shown = lambda k, v: _told(v) if k in ("way_meta", "edge_meta") else polyline.encode_points((q["lat"], q["lon"]) for q in v) if k == "meta_points" else v
@@ -88,7 +88,7 @@ def matrix(net: Network, request: dict) -> dict:
     pairs = [tuple(p) for p in request.get("pairs", [])]
     services.check_pairs(pairs, n, m)
     wanted = net.spark.createDataFrame(pairs, "from long, to long") if pairs else None
-    found = services.matrix(net, a, b, wanted, _options(request))
+    found = services.matrix(net, a, b, wanted, _options(net, request))
     per = 1609.344 if unit == "mi" else 1000.0
     rows = _all(found.select("from", "to", F.col("duration_ms").alias("duration"), (F.col("length_m") / per).alias("length")))
     place = {p: k for k, p in enumerate(pairs)}
@@ -103,7 +103,7 @@ def route(net: Network, request: dict) -> dict:
     if len(files.places(request["locations"])) < 2:
         raise InvalidRequest("a route needs two locations")
     stops = stops.select(F.lit(0).cast("long").alias("trip"), F.col("loc").alias("pos"), "loc", "lat", "lon")
-    legs = sorted(_all(services.route(net, stops, _options(request), bool(request.get("with_path", True)))), key=lambda r: r["leg"])
+    legs = sorted(_all(services.route(net, stops, _options(net, request), bool(request.get("with_path", True)))), key=lambda r: r["leg"])
     out = [{"duration": _duration(r["duration_ms"]), "length": r["length_m"], "bounds": _bounds(r["bounds"]), **({"path": r["path"]} if r["path"] else {})} for r in legs]
     b = [r["bounds"] for r in legs]
     bounds = {k: (min if k.startswith("min") else max)(x[k] for x in b) for k in b[0]} if b else None
@@ -117,9 +117,9 @@ def isochrone(net: Network, request: dict) -> dict:
     if unit not in ("km", "mi", "min"):
         raise InvalidRequest(f"unknown unit: {unit}")
     at = files.locations(net.spark, [request])
-    if services.snapped(net, at, _options(request)).limit(1).count() == 0:
+    if services.snapped(net, at, _options(net, request)).limit(1).count() == 0:
         raise services.LocationNotFound("no road near the location")
-    rows = _all(services.isochrone(net, at, request["ranges"], unit, _options(request)))
+    rows = _all(services.isochrone(net, at, request["ranges"], unit, _options(net, request)))
     return {"profile": cost.profile(request.get("profile")).name, "unit": unit, "ranges": [{"value": r["value"], "polygon": r["polygon"]} for r in sorted(rows, key=lambda r: r["value"])]}
 
 
@@ -195,7 +195,9 @@ def main(argv: list[str] | None = None) -> int:
 
         files.write_network(from_pbf(spark, a.pbf, conf), conf["storage"]["dir"])
         return 0
-    net = files.read_network(spark, conf["storage"]["dir"])
+    from strada.plans.build import configured
+
+    net = configured(files.read_network(spark, conf["storage"]["dir"]), conf)
     if a.command == "route":
         status, out = answer(net, "route", sys.stdin.read())
         print(json.dumps(out))

@@ -52,6 +52,7 @@ class Network:
     turns: DataFrame
     ways: DataFrame
     overrides: DataFrame | None = None
+    max_radius_m: float = snap.RADIUS
 
     @property
     def spark(self) -> SparkSession:
