@@ -1,18 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Documents fall into cells by source, language and topic. The cells' token sums are raked: in turn, each dimension's sums
-are scaled to its target shares, SWEEPS times over all three. A cell's ratio is its raked share over its own share of the
-tokens. Documents are then sampled: a cell's probability is min(1, lambda * ratio), with lambda solved (water filling over
-the cells in order of their ratio) so that the expected tokens are the stated fraction of all; a document stays if a hash
-of its id, uniform in 0..1, lies below its cell's probability. So a document's fate depends on its id and its cell alone.
+are scaled to its target shares, over all three at most SWEEPS times, and until no cell changes by more than SETTLED of
+its weight. A cell's ratio is its raked share over its own share of the tokens. Documents are then sampled: a cell's
+probability is min(1, lambda * ratio), with lambda solved so that the expected tokens are the stated fraction of all; a
+document stays if a hash of its id, uniform in 0..1, lies below its cell's probability. So a document's fate depends on its
+id and its cell alone.
 
 Targets are given by dimension as {value: share}, or by a power: each value's share is its share of the tokens to that
-power, renormalised (1: as it is; 0: all alike). Values without a target keep nothing. Tokens are words here; a topic is a
-class of the wording: `legal` with the text of a licence, `data` with long digit runs or addresses, `prose` otherwise.
+power, renormalised (1: as it is; 0: all alike). Values without a target keep nothing; a target that no cell has is left
+out, and the shares of the others are scaled up to fill it. Tokens are words here; a topic is a class of the wording:
+`legal` with the text of a licence, `data` with long digit runs or addresses, `prose` otherwise.
 
-Documents are summed to cells before any shuffle; the table of cells holds one short row per combination of source, language
-and topic that occurs, and is raked in one task, whose windows take all cells: it grows with the combinations, not with
-the documents.
+Documents are summed to cells before any shuffle, and cells to a dimension's values before theirs: each scaling is a grouped
+sum joined back, so no task holds all cells or all of one value, however many there are. lambda is found by sums over the
+cells: those it would raise above 1 are set to 1 and it is solved for the others, until no more are; it only rises.
 
 Cases. Null text is empty (0 tokens, topic prose); null source or lang is a value of its own, ''. Rows with a null doc_id
 are left out; rows that repeat a doc_id fare alike if their cells are the same. A cell without tokens has probability 1.
@@ -21,17 +23,14 @@ An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strada.llm.common import materialize, table, work_dir
 
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-FRACTION, SWEEPS, TOGETHER, CELLS = 0.7, 20, 4, 100_000
+FRACTION, SWEEPS, SETTLED = 0.7, 20, 1e-10
 WORD, LEGAL, DATA = r"[^\x20\x09-\x0D]+", "[Ll]icen[sc]", "[0-9]{7}|://|[0-9]@|[a-z]@[a-z]"
 
 
@@ -57,51 +56,60 @@ def described(docs: DataFrame) -> DataFrame:
     )
 
 
-def _targets(cells: DataFrame, targets: dict) -> DataFrame:
+def _targets(cells: DataFrame, total: float, targets: dict) -> DataFrame:
     """cells with t_<dimension>, the share that the dimension's value is to have."""
-    total = F.sum("tokens").over(W.partitionBy())
     for d in DIMENSIONS:
         given = targets.get(d, POWERS[d])
         if isinstance(given, dict):
-            share = F.create_map(*[x for k, v in sorted(given.items()) for x in (F.lit(k), F.lit(float(v)))])
+            share = F.create_map(*[x for k, v in sorted(given.items()) for x in (F.lit(k), F.lit(float(v)))]) if given else F.create_map().cast("map<string,double>")
             cells = cells.withColumn(f"t_{d}", F.coalesce(F.element_at(share, F.col(d)), F.lit(0.0)))
         else:
-            own = F.sum("tokens").over(W.partitionBy(d))
-            cells = cells.withColumn("own", F.when(own > 0, F.pow(own / total, F.lit(float(given)))).otherwise(0.0)).withColumn("first", F.row_number().over(W.partitionBy(d).orderBy(*DIMENSIONS)) == 1)
-            all_own = F.sum(F.when(F.col("first"), F.col("own")).otherwise(0.0)).over(W.partitionBy())
-            cells = cells.withColumn(f"t_{d}", F.when(all_own > 0, F.col("own") / all_own).otherwise(0.0)).drop("own", "first")
+            own = cells.groupBy(d).agg(F.sum("tokens").alias("own")).select(d, F.when(F.col("own") > 0, F.pow(F.col("own") / total, F.lit(float(given)))).otherwise(0.0).alias("own"))
+            all_own = own.agg(F.sum("own")).first()[0]
+            cells = cells.join(own.select(d, (F.col("own") / all_own if all_own else F.lit(0.0)).alias(f"t_{d}")), d)
     return cells
 
 
+def _scaled(now: DataFrame, d: str) -> DataFrame:
+    held = now.groupBy(d).agg(F.sum("w").alias("held"))
+    return now.join(held, d).withColumn("w", F.when(F.col("held") > 0, F.col("w") * F.col(f"t_{d}") / F.col("held")).otherwise(0.0)).drop("held")
+
+
+def _lambda(cells: DataFrame, wanted: float) -> float | None:
+    """The l at which the sum of tokens * min(1, l * ratio) is wanted; None if all cells with a ratio together fall short."""
+    found = 0.0
+    while True:
+        full = F.col("ratio") * found >= 1
+        sums = cells.where("ratio > 0").agg(F.sum(F.when(full, F.col("tokens"))).alias("kept"), F.sum(F.when(~full, F.col("tokens") * F.col("ratio"))).alias("rest")).first()
+        if not sums["rest"]:
+            return None
+        solved = (wanted - (sums["kept"] or 0.0)) / sums["rest"]
+        if solved <= found * (1 + 1e-12):
+            return max(found, solved)
+        found = solved
+
+
 def rake(cells: DataFrame, path: str, targets: dict | None = None, fraction: float = FRACTION, sweeps: int = SWEEPS) -> DataFrame:
     """(source, lang, topic, tokens, share, ratio, probability) from cells (source, lang, topic, tokens)."""
-    cells = materialize(cells, f"{path}/cells")
-    parts = max(1, math.ceil(cells.count() / CELLS))
-    now = _targets(cells.coalesce(parts), targets or {}).withColumn("w", F.when(F.sum("tokens").over(W.partitionBy()) > 0, F.col("tokens") / F.sum("tokens").over(W.partitionBy())).otherwise(0.0))
+    cells = materialize(cells.select(*DIMENSIONS, F.col("tokens").cast("double").alias("tokens")), f"{path}/cells")
+    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+    now = _targets(cells, total, targets or {}).withColumn("w", F.col("tokens") / total if total else F.lit(0.0))
     now = materialize(now, f"{path}/sweep0")
-    done = 0
-    while done < sweeps:
-        now = now.coalesce(parts)
-        for _ in range(min(TOGETHER, sweeps - done)):
-            for d in DIMENSIONS:
-                held = F.sum("w").over(W.partitionBy(d))
-                now = now.withColumn("w", F.when(held > 0, F.col("w") * F.col(f"t_{d}") / held).otherwise(0.0))
-            done += 1
-        now = materialize(now, f"{path}/sweep{done}")
-    now = now.coalesce(parts)
-    every = W.partitionBy()
-    total = F.sum("tokens").over(every)
-    ratio = F.when(F.col("tokens") > 0, F.col("w") / F.sum("w").over(every) / (F.col("tokens") / total))
-    now = now.withColumn("share", F.when(F.sum("w").over(every) > 0, F.col("w") / F.sum("w").over(every)).otherwise(0.0)).withColumn("ratio", F.coalesce(ratio, F.lit(0.0)))
-    falling = W.orderBy(F.desc("ratio"), *DIMENSIONS)
-    # with the k cells of the largest ratios at probability 1, lambda for the others; the least k that fits is taken
-    before = F.coalesce(F.sum("tokens").over(falling.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    behind = F.sum(F.col("tokens") * F.col("ratio")).over(falling.rowsBetween(0, W.unboundedFollowing))
-    now = now.withColumn("lam", F.when(behind > 0, (F.lit(fraction) * total - before) / behind))
-    fits = F.when((F.col("lam") >= 0) & (F.col("lam") * F.col("ratio") <= 1), F.col("lam"))
-    now = now.withColumn("fit", F.max(fits).over(every))
-    p = F.when(F.col("tokens") == 0, 1.0).when(F.col("fit").isNull(), F.when(F.col("ratio") > 0, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), F.col("fit") * F.col("ratio")))
-    return materialize(now.select(*DIMENSIONS, "tokens", "share", "ratio", p.alias("probability")), f"{path}/raked")
+    for k in range(1, sweeps + 1):
+        now = now.withColumn("was", F.col("w"))
+        for d in DIMENSIONS:
+            now = _scaled(now, d)
+        now = materialize(now, f"{path}/sweep{k}")
+        change = now.agg(F.max(F.when(F.col("was") > 0, F.abs(F.col("w") / F.col("was") - 1)))).first()[0]
+        if change is None or change <= SETTLED:
+            break
+    every = now.agg(F.sum("w")).first()[0] or 0.0
+    share = F.col("w") / every if every else F.lit(0.0)
+    ratio = F.when(F.col("tokens") > 0, share / (F.col("tokens") / total)).otherwise(0.0) if total else F.lit(0.0)
+    now = now.select(*DIMENSIONS, "tokens", share.alias("share"), ratio.alias("ratio"))
+    lam = _lambda(now, fraction * total)
+    inside = F.when(F.col("ratio") > 0, 1.0).otherwise(0.0) if lam is None else F.least(F.lit(1.0), F.lit(lam) * F.col("ratio"))
+    return materialize(now.withColumn("probability", F.when(F.col("tokens") == 0, 1.0).otherwise(inside)), f"{path}/raked")
 
 
 def cells_of(rows: DataFrame) -> DataFrame:

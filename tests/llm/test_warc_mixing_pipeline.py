@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,40 @@ def test_probabilities_are_capped_and_keep_the_fraction(spark, path):
     assert abs(sum(r["tokens"] * r["probability"] for r in got.values()) - 555) < 1e-6
 
 
+def test_a_target_that_no_cell_has_goes_to_the_others(spark, path):
+    cells = [("a", "en", "prose", 30.0), ("b", "en", "prose", 10.0), ("c", "en", "prose", 60.0)]
+    got = {r["source"]: r for r in mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens double"), path, {"source": {"a": 0.2, "b": 0.2, "zz": 0.6}}, 0.9).collect()}
+    assert [round(got[k]["share"], 9) for k in "abc"] == [0.5, 0.5, 0.0]
+    assert [got[k]["probability"] for k in "abc"] == [1.0, 1.0, 0.0]  # 40 of the 90 wanted are all there are
+
+
+def test_many_cells_are_raked_as_by_numpy(spark, path):
+    r = np.random.RandomState(4)
+    n = 3000  # nearly all of them in one source
+    at = np.stack([np.where(r.rand(n) < 0.7, 0, r.randint(0, 400, n)), r.randint(0, 60, n), r.randint(0, 3, n)], axis=1)
+    at = np.unique(at, axis=0)
+    tokens = r.randint(0, 1000, len(at)).astype(float)
+    cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", float(x)) for (a, b, c), x in zip(at, tokens, strict=True)], "source string, lang string, topic string, tokens double")
+    got = {(x["source"], x["lang"], x["topic"]): x for x in mixing.rake(cells, path, {"source": 0.5, "lang": 0.0, "topic": 0.8}, 0.6, 4).collect()}
+    w = tokens / tokens.sum()
+    powers = (0.5, 0.0, 0.8)
+    own = [np.bincount(at[:, d], tokens) / tokens.sum() for d in range(3)]
+    want = [np.where(o > 0, np.power(np.where(o > 0, o, 1), p), 0) for o, p in zip(own, powers, strict=True)]
+    for _ in range(4):
+        for d in range(3):
+            held = np.bincount(at[:, d], w, minlength=len(want[d]))[at[:, d]]
+            w = np.where(held > 0, w * (want[d] / want[d].sum())[at[:, d]] / np.where(held > 0, held, 1), 0)
+    w /= w.sum()
+    ratio = np.where(tokens > 0, w / np.where(tokens > 0, tokens / tokens.sum(), 1), 0)
+    low, high = 0.0, 1e9
+    for _ in range(200):  # halving, where the operator solves
+        mid = (low + high) / 2
+        low, high = (mid, high) if (tokens * np.minimum(1, mid * ratio)).sum() < 0.6 * tokens.sum() else (low, mid)
+    for k, (a, b, c) in enumerate(at):
+        x = got[f"s{a}", f"l{b}", f"t{c}"]
+        assert abs(x["share"] - w[k]) < 1e-9 and abs(x["probability"] - (min(1, low * ratio[k]) if tokens[k] else 1)) < 1e-6
+
+
 def test_mixing_is_what_sql_finds(spark, docs, path):
     got = sorted(map(str, map(tuple, mixing.mix(docs, path).collect())))
     con = duckdb.connect()
