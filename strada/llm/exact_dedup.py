@@ -4,7 +4,9 @@ Every row becomes (doc_id, digest of its normalised text). The history's distinc
 and count, are dealt to shards by digest; each shard holds a minimal perfect hash (levels of collision-free bit sets,
 ranked by popcount) whose slots store the full 32-byte digest, the winner's doc_id and the count. The batch's distinct
 digests, pre-aggregated too, are looked up in their shard: the slot's digest is compared byte for byte, members are
-merged with the slot, nonmembers form groups of their own. A hot text is one row per map task before any shuffle.
+merged with the slot, nonmembers form groups of their own. A hot text is one row per map task before any shuffle. Groups of
+more than one row in HOT are fewer than HOT: they are broadcast to the rows, and only the rows of smaller groups are
+shuffled by their digest to meet theirs.
 
 Cases. Null text is the empty text, and empty texts are equal to each other. Rows with a null doc_id are left out.
 Rows that repeat a doc_id count as rows: each is returned, and each counts in group_size. An empty table gives an empty
@@ -25,6 +27,8 @@ from strada.llm.common import materialize, prepared, table, work_dir
 
 #: Distinct digests a shard holds on average; a shard is one group of one task.
 SHARD_KEYS = 512
+#: A group with more than this part of all rows is hot.
+HOT = 1000
 _WORDS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 _SLOT = np.dtype([("digest", "V32"), ("winner", "<i8"), ("size", "<i8")])
 
@@ -139,8 +143,11 @@ def exact_dedup(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         history = F.col("doc_id") <= F.lit(((low or 0) + (high or 0)) // 2)
     index, shards = build_index(rows.where(history), path)
-    groups = probe(index, shards, rows.where(~history))
-    return rows.join(groups, "digest").select(
+    groups = materialize(probe(index, shards, rows.where(~history)), f"{path}/groups")
+    hot = F.col("group_size") * HOT > rows.count()
+    met = rows.join(F.broadcast(groups.where(hot)), "digest", "left")
+    others = met.where("group_size IS NULL").select("doc_id", "digest").join(groups.where(~hot), "digest")
+    return met.where("group_size IS NOT NULL").unionByName(others).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("seen").alias("seen_in_history")
     )
 

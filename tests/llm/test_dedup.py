@@ -36,6 +36,13 @@ def test_a_hot_text_is_one_group(spark, path):
     assert sorted(tuple(r)[:5] for r in got.collect()) == exact_by_hand(data)
 
 
+def test_hot_and_other_groups_meet_their_rows(spark, path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 4)
+    data = [(k, "Hot text" if k % 3 else f"own {k // 6}") for k in range(300)] + [(5, "hot TEXT"), (7, None), (7, "")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(data, "doc_id long, text string"), path)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == exact_by_hand(data)
+
+
 def test_the_hash_is_minimal_and_perfect():
     for n in (0, 1, 2, 17, 5000):
         raw = np.frombuffer(b"".join(hashlib.sha256(str(k).encode()).digest() for k in range(n)), dtype="<u8").reshape(-1, 4)
