@@ -6,6 +6,8 @@ the order of a hash of their ids), each from its own random start, and the signs
 A code is split into 16-bit substrings, each with its own bucket table; a code within the Hamming radius r of a query has
 a substring within floor(r / substrings) of the query's, so probing every occupied bucket that near retrieves every code
 within the radius. What is retrieved is checked on the full code and reranked on the original floats in double precision.
+Once the tables probed have brought up half of a block, the others would bring up codes that are cheaper checked than
+probed for: the whole block is checked, with the same codes within the radius as the outcome.
 The radius is learned on the sample as the quantile WITHIN of the true neighbours' distances; the neighbours of a sample
 are farther than those of the whole table, so the radius errs to the wide side. A block that retrieves fewer than k rows
 widens its radius until it has k or all.
@@ -95,14 +97,15 @@ class MultiIndex:
         each = radius // len(self.tables)
         for part, (values, starts, order) in zip(query.view(np.uint16), self.tables, strict=True):
             hit = _ONES16[values ^ part] <= each
-            if hit.all():
-                marked[:] = True
-                break
-            rows = np.repeat(hit, np.diff(starts))
-            marked[order[rows]] = True
+            if hit.any():
+                marked[order[np.repeat(hit, np.diff(starts))]] = True
+                if 2 * np.count_nonzero(marked) >= len(marked):
+                    return np.flatnonzero(self._distances(slice(None), query) <= radius)
         found = np.flatnonzero(marked)
-        far = np.bitwise_count(self.code[found] ^ query.view(np.uint64)).sum(axis=1, dtype=np.int64)
-        return found[far <= radius]
+        return found[self._distances(found, query) <= radius]
+
+    def _distances(self, rows, query: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.code[rows] ^ query.view(np.uint64)).sum(axis=1, dtype=np.int64)
 
 
 def _vectors(column: pa.ChunkedArray, width: int) -> np.ndarray:

@@ -72,3 +72,16 @@ def test_probing_finds_every_code_within_the_radius():
         q = code[7] ^ (r.rand(32) < 0.3).astype(np.uint8)
         far = np.unpackbits(code ^ q, axis=1).sum(axis=1)
         assert sorted(index.within(q, radius).tolist()) == np.flatnonzero(far <= radius).tolist()
+
+
+def test_rows_that_repeat_an_id(spark, path):
+    x = np.random.RandomState(3).randn(200, 8).astype(np.float32).tolist()
+    got = ann.neighbours(frame(spark, [*x, x[7], x[9]], [*range(200), 7, 11]), path, F.col("vec_id") % 20 == 0).collect()
+    for q in range(0, 200, 20):
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [r for r, _, _ in mine] == list(range(1, 21))
+        scores = [s for _, _, s in mine]
+        assert scores == sorted(scores, reverse=True) and all(i != q for _, i, _ in mine)
+        for i, copies in ((7, 2),):  # each row of an id is a candidate of its own
+            own = sum(1 for _, v, _ in mine if v == i)
+            assert own in (0, copies) or scores[-1] == next(s for _, v, s in mine if v == i)
