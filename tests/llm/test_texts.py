@@ -101,6 +101,52 @@ def test_toxicity_of_held_out_documents(spark, path):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
 
 
+def naive_weight(text, lexicon, exceptions):
+    """The same by looking at every place of the text for every word."""
+    harmless = [(i, i + len(e)) for e in map(toxicity.fold, exceptions) for i in range(len(text)) if text.startswith(e, i)]
+    harmless = [(i, k + text.startswith("s", k)) for i, k in harmless]
+    harmless = [(i, k) for i, k in harmless if not (i and text[i - 1].isalnum()) and not (k < len(text) and text[k].isalnum())]
+    total = 0.0
+    for i in range(len(text)):
+        best = 0.0
+        for w, weight in lexicon.items():
+            part = w.rstrip("*")
+            k = i + len(part)
+            if not text.startswith(part, i) or (i and text[i - 1].isalnum()) or (w != part + "*" and part + "*" in lexicon):
+                continue
+            if w == part:
+                k += text.startswith("s", k)
+                if k < len(text) and text[k].isalnum():
+                    continue
+            if not any(p <= i and k <= q for p, q in harmless):
+                best = max(best, weight)
+        total += best
+    return total
+
+
+def test_weights_are_what_a_naive_matcher_finds():
+    r = random.Random(8)
+    lexicon = {"ab": 1.0, "abba": 2.5, "abbac*": 1.5, "ba": 0.5, "caa": 3.0, "caa*": 2.0}
+    exceptions = ("ba ab", "abba c", "caa")
+    a = toxicity.automaton(lexicon, exceptions)
+    for _ in range(3000):
+        text = "".join(r.choice("aabbcs  5é") for _ in range(r.randrange(40)))
+        assert toxicity.weigh(toxicity.fold(text), a) == pytest.approx(naive_weight(toxicity.fold(text), lexicon, exceptions)), text
+
+
+def test_repeated_labels_and_labels_without_documents(spark, path):
+    docs = spark.createDataFrame([(k, ("what a grumble " if k % 4 == 0 else "") + prose("en", k, 30)) for k in range(200)], "doc_id long, text string")
+    labels = [(k, int(k % 4 == 0)) for k in range(200)]
+    once = sorted(map(tuple, toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), path).collect()))
+    again = spark.createDataFrame([*labels, *labels, *((k, 0) for k in range(0, 200, 4))], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.toxicity(docs, again, f"{path}/again").collect())) == once
+    assert sum(p for *_, p in once) == 50
+    quiet = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), f"{path}/quiet", exceptions=("a grumble",))
+    assert {r["predicted"] for r in quiet.collect()} == {0}
+    strangers = spark.createDataFrame([(k + 1000, k % 2) for k in range(50)], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.toxicity(docs, strangers, f"{path}/none").collect()} == {0.0}
+
+
 def test_toxicity_without_labels(docs, no_docs, spark, path):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(docs, none, path).collect()} == {0.0}
