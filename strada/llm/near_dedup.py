@@ -488,4 +488,37 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), work_dir(spark))
 
 
+#: The same by an inverted index of shingles, without signatures.
+SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, row_number() OVER () AS row_no,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL
+), words AS (
+  SELECT row_no, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t
+), runs AS (
+  SELECT row_no, n, i, x || coalesce(' ' || lead(x, 1) OVER v, '') || coalesce(' ' || lead(x, 2) OVER v, '') || coalesce(' ' || lead(x, 3) OVER v, '') || coalesce(' ' || lead(x, 4) OVER v, '') AS x
+  FROM words WINDOW v AS (PARTITION BY row_no ORDER BY i)
+), grouped AS (
+  SELECT row_no, list_sort(list(DISTINCT x)) AS s FROM runs WHERE i <= greatest(n - 4, 1) GROUP BY row_no
+), sets AS (
+  SELECT t.doc_id, coalesce(grouped.s, []) AS s FROM t LEFT JOIN grouped ON t.row_no = grouped.row_no
+), classes AS (
+  SELECT s, len(s) AS n, row_number() OVER () AS c, min(doc_id) AS low FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS (
+  SELECT c, n, unnest(s) AS x FROM classes
+), links AS (
+  SELECT a.c AS a, b.c AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT c AS a, c AS b FROM classes
+  UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+), named AS (
+  SELECT reached.a AS c, min(low) AS component_id FROM reached JOIN classes ON reached.b = classes.c GROUP BY reached.a
+)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id,
+       sets.doc_id = coalesce(component_id, sets.doc_id) AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN named ON classes.c = named.c
+"""
+
 assert math.comb(CHUNK, ERRORS) * CHUNKS == SYMBOLS

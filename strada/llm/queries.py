@@ -17,4 +17,6 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op7_mixing": mixing.SQL,
+    "op8_warc": warc.SQL,
+    "op10_near_dedup": near_dedup.SQL,
 }

@@ -177,3 +177,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
     write(table(spark, sf_dir, "pages"), path, f"{path}/warc")
     return read(spark, f"{path}/warc").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: A row per page as the archives should give it; base32 from four times ten hexadecimal digits.
+SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url FROM pages WHERE page_id IS NOT NULL
+), d AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY sha1(html)) AS winner,
+         row_number() OVER (PARTITION BY page_id, sha1(html) ORDER BY url) AS k
+  FROM p
+), n AS (
+  SELECT *, [CAST('0x' || substr(h, 10 * i + 1, 10) AS BIGINT) FOR i IN [0, 1, 2, 3]] AS parts FROM d
+)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((parts[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = winner AND k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = winner AND k = 1 THEN NULL ELSE winner END AS refers_to
+FROM n
+"""

@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,12 @@ def test_near_dedup_is_what_all_pairs_find(docs, path):
     assert sorted(map(tuple, got.collect())) == near_by_hand([(r[0], r[1]) for r in rows() if r[0] is not None])
 
 
+def test_the_sql_of_near_dedup_is_what_all_pairs_find(docs):
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas().assign(doc_id=lambda d: d.doc_id.astype("Int64")))
+    assert sorted(con.execute(near_dedup.SQL).fetchall()) == near_by_hand([(r[0], r[1]) for r in rows() if r[0] is not None])
+
+
 def test_near_dedup_of_nothing(no_docs, path):
     assert near_dedup.near_dedup(no_docs, path).count() == 0
 

@@ -200,3 +200,15 @@ def test_rows_that_repeat_a_page_and_its_payload_have_one_response(spark, path):
             with gzip.open(f"{folder}/{name}") as f:
                 ids += [line for line in f.read().split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
     assert len(set(ids)) == len(data)
+
+
+@pytest.mark.parametrize("data", [PAGES, [(1, "a", "<p>x"), (1, "b", "<p>x"), (1, "c", "<p>y"), (0, "d", "<p>x"), (0, "d", "<p>x"), (2, "e", "<p>y")], []])
+def test_archives_are_what_sql_finds(spark, path, data):
+    own = pages(spark, data)
+    warc.write(own, path, f"{path}/warc")
+    got = warc.read(spark, f"{path}/warc").drop("url").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    for row in data:
+        con.execute("INSERT INTO pages VALUES (?, ?, ?)", row)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(warc.SQL).fetchall()))
