@@ -106,8 +106,8 @@ def turns(edges: DataFrame, rules: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def clustered(edges: DataFrame, partitions: int) -> DataFrame:
+def clustered(edges: DataFrame, partitions: int | None = None) -> DataFrame:
     """Segments by the Morton key of their first point: near ones share files, and statistics can skip the others."""
     p = F.get("points", F.lit(0))
     keyed = edges.withColumn("morton", geo.morton(p["lat"], p["lon"]))
-    return keyed.repartitionByRange(partitions, "morton").sortWithinPartitions("morton", "en_id")
+    return keyed.repartitionByRange(*([] if partitions is None else [partitions]), "morton").sortWithinPartitions("morton", "en_id")

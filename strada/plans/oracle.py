@@ -225,5 +225,20 @@ FROM locs l LEFT JOIN (SELECT * FROM snaps QUALIFY row_number() OVER (PARTITION
     "isochrone_reach": _with("SELECT origin AS loc, v.value, en AS en_id, CAST(w // 10000000 AS BIGINT) AS cost FROM sp JOIN (VALUES (1.0::DOUBLE, 60000), (2.0::DOUBLE, 120000)) v(value, most) ON w // 10000000 <= most", _graph("car", "time"), "RECURSIVE"),
     "info": "SELECT 'Ok' AS status, '0.1.0' AS version, 'car,hgv,bike,foot' AS profiles",
 }
+_REACH = ", ".join(f"round({end}({x}), 6) AS {end}_{k}" for k, x in {"lat": "lat", "lon": "lon", "sum": "lat + lon", "diff": "lat - lon"}.items() for end in ("min", "max"))
+ORACLES["network_hull_reach"] = _with(f"SELECT way_id, {_REACH} FROM rr GROUP BY way_id")
+ORACLES["isochrone_hull_reach"] = _with(
+    f"SELECT origin AS loc, v.value, {_REACH} FROM sp JOIN (VALUES (0.5::DOUBLE, 500), (1.5::DOUBLE, 1500)) v(value, most) ON w // 10000000 <= most JOIN (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY en_id ORDER BY k DESC) = 1) e ON e.en_id = sp.en GROUP BY origin, v.value",
+    _graph("foot", "distance"), "RECURSIVE",
+)
+ORACLES["stored_network"] = ORACLES["edge_nodes"]
+ORACLES["inspect_way"] = _with(
+    """SELECT w.way_id, upper(class[1]) || class[2:] AS highway, CASE surface WHEN 0 THEN 'Unknown' WHEN 1 THEN 'Excellent' WHEN 2 THEN 'Good' WHEN 5 THEN 'VeryBad' END AS surface, flags & 2 <> 0 AS toll, flags & 1 <> 0 AS oneway, line.path
+FROM (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY way_id ORDER BY dir DESC) = 1) w JOIN line ON line.way_id = w.way_id""",
+    """step AS (SELECT way_id, pos, unnest([CAST(round(lat*100000) AS BIGINT) - coalesce(CAST(round(plat*100000) AS BIGINT), 0), CAST(round(lon*100000) AS BIGINT) - coalesce(CAST(round(plon*100000) AS BIGINT), 0)]) AS v, unnest([0, 1]) AS axis FROM rr WHERE way_id = 1000),
+code AS (SELECT *, CASE WHEN v < 0 THEN -2 * v - 1 ELSE 2 * v END AS z FROM step),
+chars AS (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS k FROM code),
+line AS (SELECT way_id, string_agg(chr(CAST(((z >> (5 * k)) & 31) + CASE WHEN z >> (5 * k + 5) > 0 THEN 95 ELSE 63 END AS INTEGER)), '' ORDER BY pos, axis, k) AS path FROM chars WHERE k = 0 OR z >> (5 * k) > 0 GROUP BY way_id)""",
+)
 ORACLES |= {f"legs_{a}": ORACLES["route_legs"] for a in ("dijkstra", "bidir_dijkstra", "a_star", "bidir_a_star")}
 ORACLES["isochrone_reach_joins"] = ORACLES["isochrone_reach"]

@@ -9,6 +9,7 @@ from strada.functions import fixed, geo, polyline
 from strada.functions import tags as T
 from strada.operators import cost, country, hull, network, search, snap
 from strada.plans import derived, services
+from strada.sources import files
 from strada.steps import work_dir
 
 _built: dict = {}
@@ -330,6 +331,28 @@ def network_hull(s, d):
     return hull.hulls(at, ["way_id"]).select("way_id", F.size("ring").cast("long").alias("n_corners"))
 
 
+def _reach(ring):
+    """How far a ring reaches to eight sides: the same for all points that it encloses, whichever of points on a line are corners."""
+    sides = {"lat": lambda p: p["lat"], "lon": lambda p: p["lon"], "sum": lambda p: p["lat"] + p["lon"], "diff": lambda p: p["lat"] - p["lon"]}
+    return [_r(end(F.transform(ring, f))).alias(f"{name}_{k}") for k, f in sides.items() for name, end in (("min", F.array_min), ("max", F.array_max))]
+
+
+def network_hull_reach(s, d):
+    at = derived.refs(s, d).join(derived.nodes(s, d).select(F.col("id").alias("node"), "lat", "lon"), "node")
+    return hull.hulls(at, ["way_id"]).select("way_id", *_reach(F.col("ring")))
+
+
+def isochrone_hull_reach(s, d):
+    return isochrone_hull(s, d).select("loc", "value", *_reach(F.col("ring")))
+
+
+def stored_network(s, d):
+    """The segments after a round through the network's tables."""
+    path = work_dir(s)
+    files.write_network(net(s, d), path)
+    return files.read_network(s, path).edges.select("en_id", "way_id", "dir", "from_node", "to_node", "dist_m", F.size("points").cast("long").alias("n_points"))
+
+
 def inspect_way(s, d):
     out = services.inspect(net(s, d), 1000)
     return out.select("way_id", F.col("way_meta.highway").alias("highway"), F.col("way_meta.surface_quality").alias("surface"), F.col("way_meta.toll").alias("toll"), F.col("way_meta.oneway").alias("oneway"), "path")
@@ -350,7 +373,7 @@ QUERIES = {
     "sssp_time": _sssp("time", "car"), "sssp_distance": _sssp("distance", "foot"), "matrix_pairs": matrix_pairs, "matrix_bike_distance": matrix_bike_distance, "matrix_wanted_pairs": matrix_wanted_pairs,
     **{f"legs_{a}": _legs_by(a) for a in search.ALGORITHMS},
     "route_legs": route_legs, "route_trip": route_trip, "route_avoid_toll": route_avoid_toll, "route_paths": route_paths,
-    "isochrone_reach": isochrone_reach, "isochrone_reach_joins": isochrone_reach_joins, "isochrone_hull": isochrone_hull, "network_hull": network_hull, "inspect_way": inspect_way, "info": info,
+    "isochrone_reach": isochrone_reach, "isochrone_reach_joins": isochrone_reach_joins, "isochrone_hull": isochrone_hull, "network_hull": network_hull, "network_hull_reach": network_hull_reach, "isochrone_hull_reach": isochrone_hull_reach, "stored_network": stored_network, "inspect_way": inspect_way, "info": info,
 }
 
 

@@ -48,11 +48,12 @@ def config(path: str | None = None) -> dict:
     return out
 
 
-def write_network(net: Network, folder: str, partitions: int = 8) -> None:
-    """Segments lie in Morton order, so that a region's files are few; turns lie by the segment they leave."""
+def write_network(net: Network, folder: str, partitions: int | None = None) -> None:
+    """A table has `partitions` files, or by default as many as Spark cuts its shuffles into. Segments lie in Morton order, so that a region's files are few; turns lie by the segment they leave."""
     network.clustered(net.edges, partitions).write.mode("overwrite").parquet(f"{folder}/edges")
-    net.turns.repartitionByRange(partitions, "from_en").sortWithinPartitions("from_en").write.mode("overwrite").parquet(f"{folder}/turns")
-    net.ways.repartitionByRange(partitions, "way_id").sortWithinPartitions("way_id").write.mode("overwrite").parquet(f"{folder}/ways")
+    cut = [] if partitions is None else [partitions]
+    net.turns.repartitionByRange(*cut, "from_en").sortWithinPartitions("from_en").write.mode("overwrite").parquet(f"{folder}/turns")
+    net.ways.repartitionByRange(*cut, "way_id").sortWithinPartitions("way_id").write.mode("overwrite").parquet(f"{folder}/ways")
 
 
 def read_network(spark: SparkSession, folder: str, overrides: DataFrame | None = None) -> Network:

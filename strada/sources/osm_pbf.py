@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strada.steps import ship
+from strada.steps import opened, ship
 
 SCHEMAS = {
     "node": "id long, lat double, lon double, tags map<string,string>",
@@ -156,10 +156,10 @@ class Blobs(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, path: str, kind: str):
-        self.path, self.kind = path.removeprefix("file://"), kind
+        self.path, self.kind = path, kind
 
     def partitions(self):
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             blobs = blob_list(f)
             if not blobs or blobs[0][0] != "OSMHeader":
                 raise ValueError("the file has no header")
@@ -176,7 +176,7 @@ class Reader(DataSourceReader):
         return out
 
     def read(self, partition):
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             for at, n in partition.places:
                 f.seek(at)
                 yield from rows(inflate(f.read(n)), self.kind)

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,15 +31,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a new temporary folder."""
+    """A new folder below spark.checkpoint.dir; where that is unset and all runs on one machine, below a new temporary folder."""
     ship(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="strada-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/strada-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def opened(path: str):
+    """A binary file to read, with seek(): a plain path or file: from here, any other scheme through pyarrow's file systems."""
+    at = urlparse(path)
+    if at.scheme in ("", "file"):
+        with open(at.path if at.scheme else path, "rb") as f:
+            yield f
+    else:
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_file(name) as f:
+            yield f
+
+
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
     df.write.mode("overwrite").parquet(path)

@@ -9,6 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from strada import steps
 from strada.functions import polyline
 from strada.operators import country, network, search, snap
 from strada.plans import api, build, services
@@ -43,6 +44,28 @@ def test_pbf_rows(spark, tmp_path, dense):
     assert sorted((r["id"], r["tags"], [tuple(m) for m in r["members"]]) for r in load("relation").collect()) == RELATIONS
 
 
+def test_pbf_by_any_address(spark, tmp_path):
+    (tmp_path / "x y.pbf").write_bytes(osm_pbf.encode(NODES, WAYS, RELATIONS))
+    osm_pbf.register(spark)
+    for path in (f"{tmp_path}/x y.pbf", f"file://{tmp_path}/x y.pbf"):
+        assert spark.read.format("osm_pbf").option("type", "way").load(path).count() == len(WAYS)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Context:
+        master, getConf = "spark://host:7077", staticmethod(lambda: Conf)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    monkeypatch.setattr(steps, "ship", lambda spark: None)
+    with pytest.raises(ValueError, match="share"):
+        steps.work_dir(Session)
+
+
 def test_pbf_headers():
     with pytest.raises(ValueError, match="required"):
         osm_pbf.check_header(osm_pbf._put(4, b"HistoricalInformation"))
