@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strada.llm.common import materialize, table, work_dir
+from strada.llm.common import materialize, ship, table, work_dir
 
 SAMPLE, BITS, WITHIN = 4096, 256, 0.95
 ROWS, QUERIES = 8192, 4096
@@ -128,6 +128,7 @@ def usable(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
 def neighbours(df: DataFrame, path: str, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows for which the condition is_query on vec_id holds, against all others."""
     spark = df.sparkSession
+    ship(spark)
     good, width = usable(df, key, vector)
     rows = materialize(good, f"{path}/vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))

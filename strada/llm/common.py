@@ -4,48 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from strada.steps import materialize, ship, work_dir
 
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, whatever the driver's working folder is."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="strada-"), f"{os.path.basename(top)}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(top)))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a new temporary folder."""
-    ship(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="strada-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/strada-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["batch_of", "crc_mod", "materialize", "n_partitions", "prepared", "ship", "table", "texts_of", "tidied", "work_dir"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key long, text string) without other columns, so that no clashing name goes on; null text is empty, rows with a null key are left out."""
+    ship(df.sparkSession)  # whoever calls an operator directly, its workers find this package
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.col(key).isNotNull())
 
 

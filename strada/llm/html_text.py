@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strada.llm.common import table, work_dir
+from strada.llm.common import ship, table, work_dir
 
 #: Elements whose content is no text of the page.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title".split())
@@ -480,6 +480,7 @@ def extract(page: str, f: Field) -> str:
 
 def main_text(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """(page_id, url, text, n_chars)."""
+    ship(pages.sparkSession)
     trained = field()
     own = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")).where("page_id IS NOT NULL")
 

@@ -9,8 +9,9 @@ likelihood falls by less than the penalty, PENALTY * log(words) for each languag
 largest share in that set, the score its share times the posterior weight of the set against the best other language.
 
 Training counts n-grams over a bounded sample: for each language, rows are taken in the order of a hash of their doc_id by
-a threshold that leaves PER_LANGUAGE rows on average. At most NGRAMS n-grams a language are kept, the most frequent. All languages of the training rows are told apart; the model is as large as the n-grams kept
-times the languages.
+a threshold that leaves PER_LANGUAGE rows on average. The most frequent n-grams of a language are kept, NGRAMS / 2 of each length at most, or
+fewer where there are so many languages that the model would hold more than NUMBERS numbers. All languages of the training
+rows are told apart.
 
 Cases. A text that is null or has no letter is `und` with score 0 and an empty set. With no training rows every text is
 `und`. Rows with a null doc_id are left out; rows that repeat a doc_id are predicted each. Ties go to the first language
@@ -29,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strada.llm.common import crc_mod, prepared, table, tidied, work_dir
+from strada.llm.common import crc_mod, prepared, ship, table, tidied, work_dir
 
 PER_LANGUAGE, NGRAMS, PENALTY, TOLERANCE = 1500, 40_000, 2.0, 0.01
+#: Numbers in a model at most, one for each n-gram and language: 64 MB to broadcast.
+NUMBERS = 1 << 24
 #: Letters whose n-grams have a dense table (those of others are searched), and characters of the texts that are taken together.
 LETTERS, TOGETHER = 200, 2_000_000
 #: Of the letter, the bigram and the trigram in a letter's probability.
@@ -52,9 +55,11 @@ def ngrams_of(word: str) -> list[str]:
 
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE, keep: int = NGRAMS) -> dict:
     """rows: (doc_id, text, lang). {"langs": [...], "p": {n-gram: [probability by language]}, "floors": by n, of those that were not kept}"""
+    ship(rows.sparkSession)
     known = rows.where("lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
+    keep = min(keep, NUMBERS // (3 * len(langs) ** 2) * 2) if langs else keep
     if not langs:
         return {"langs": [], "p": {}, "floors": []}
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))])
@@ -251,7 +256,7 @@ def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "tex
     schema = "doc_id long, lang_pred string, score double, langs array<string>"
     if not langs:
         return own.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("langs"))
-    sent = spark.sparkContext.broadcast(Likelihoods(model))  # at most 1.5 * NGRAMS n-grams a language, a number for each language
+    sent = spark.sparkContext.broadcast(Likelihoods(model))  # at most NUMBERS numbers
 
     def run(batches):
         held = sent.value

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strada.llm import files
-from strada.llm.common import materialize, n_partitions, table, work_dir
+from strada.llm.common import materialize, n_partitions, ship, table, work_dir
 
 ROLL, DATE = 64 << 20, "2025-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
@@ -111,6 +111,7 @@ def marked(rows, least: int = 0):
 
 def write(pages: DataFrame, path: str, folder: str, least: int = 0, roll: int = ROLL, date: str = DATE) -> list[dict]:
     """Writes the archives and the manifest below folder; the manifest's files: name, records, bytes."""
+    ship(pages.sparkSession)
 
     def run(batches):
         part, shard = TaskContext.get().partitionId(), 0
@@ -142,6 +143,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     A response's digest is computed from the payload read and must be the one in its header; a revisit's is its header's,
     and its payload's length the one that its HTTP header states.
     """
+    ship(spark)
     with files.opened(f"{folder}/manifest.json") as f:
         listed = [r["name"] for r in json.load(f)["files"]]
 

@@ -268,6 +268,12 @@ def test_all_languages_are_learned(spark):
     assert model["langs"] == [lang for _, _, lang in data]
 
 
+def test_a_model_is_as_large_as_stated_at_most(labelled, monkeypatch):
+    monkeypatch.setattr(language, "NUMBERS", 300)
+    model = language.train(labelled)
+    assert model["langs"] and 0 < len(model["p"]) * len(model["langs"]) <= 300
+
+
 def test_without_a_model_every_document_with_a_letter_is_accepted(docs):
     kept = language.accepted(docs.withColumn("lang", F.lit(None).cast("string")))
     assert kept.columns == docs.columns and kept.where("lang IS NOT NULL").count() == 0
