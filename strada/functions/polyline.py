@@ -8,58 +8,80 @@ from pyspark.sql import functions as F
 PRECISION = 100_000
 
 
-def _chunks(v: Column) -> Column:
-    """The characters of one signed difference: 5 bits a character, the lowest first, 32 added to all but the last."""
-    z = F.when(v < 0, F.bitwise_not(F.shiftleft(v, 1))).otherwise(F.shiftleft(v, 1))
-    n = F.greatest(F.lit(1), F.ceil(F.length(F.bin(z)) / 5.0).cast("int"))
-    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: _char(z, k, n)), "")
-
-
-def _char(z: Column, k: Column, n: Column) -> Column:
-    part = F.floor(z / F.pow(F.lit(2.0), (k * 5).cast("double"))).cast("long").bitwiseAND(F.lit(31).cast("long"))
-    return F.char(part + F.when(k < n - 1, F.lit(95)).otherwise(F.lit(63)).cast("long"))
+def _encode():
+    """Built here, so that the workers need no module of this package."""
+
+    def run(lines):
+        import numpy as np
+        import pyarrow as pa
+
+        starts = np.asarray(lines.offsets)
+        flat = lines.flatten()  # without the points of null lines
+        starts = starts - starts[0]
+        whole = np.stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()], axis=1) if len(flat) else np.zeros((0, 2), dtype=np.int64)
+        step = whole.copy()
+        step[1:] -= whole[:-1]
+        first = starts[:-1][starts[:-1] < starts[1:]]
+        step[first] = whole[first]
+        v = step.ravel()
+        z = ((v << 1) ^ (v >> 63)).view(np.uint64)
+        rest = z[:, None] >> (np.arange(13, dtype=np.uint64) * np.uint64(5))
+        used = rest > 0
+        used[:, 0] = True
+        chars = (rest & np.uint64(31)).astype(np.uint8) + np.uint8(63)
+        chars[:, :-1][used[:, 1:]] += np.uint8(32)
+        ends = np.concatenate([[0], np.cumsum(used.sum(axis=1))])[2 * starts]
+        return pa.Array.from_buffers(pa.large_string(), len(lines), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(chars[used].tobytes())]).cast(pa.string())
+
+    return F.arrow_udf(run, "string")
 
 
 def encode(points: Column) -> Column:
-    """points: array<struct<lat, lon>>; halves are rounded away from zero."""
-    whole = F.transform(points, lambda p: F.struct(F.round(p["lat"] * PRECISION).cast("long").alias("a"), F.round(p["lon"] * PRECISION).cast("long").alias("b")))
-
-    def one(p, k):
-        before = F.when(k > 0, F.element_at(whole, F.greatest(k, F.lit(1))))
-        da = p["a"] - F.coalesce(before["a"], F.lit(0).cast("long"))
-        db = p["b"] - F.coalesce(before["b"], F.lit(0).cast("long"))
-        return F.concat(_chunks(da), _chunks(db))
-
-    return F.when(F.size(points) > 0, F.array_join(F.transform(whole, one), "")).otherwise(F.lit(""))
+    """points: array<struct<lat, lon>>; halves are rounded away from zero, points without both coordinates are left out. In time proportional to the line."""
+    full = F.filter(points, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+    whole = F.transform(full, lambda p: F.struct(F.round(p["lat"] * PRECISION).cast("long").alias("a"), F.round(p["lon"] * PRECISION).cast("long").alias("b")))
+    return _encode()(F.coalesce(whole, F.array().cast("array<struct<a:long,b:long>>")))
+
+
+def _decode(precision: int):
+    def run(texts):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        null = np.asarray(pc.is_null(texts))
+        raw = pc.fill_null(texts, "").cast(pa.large_binary())
+        sizes = np.asarray(pc.binary_length(raw)).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        codes = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8).astype(np.int64) - 63
+        ends = codes < 32
+        count = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks)])[starts])  # noqa: E731  of each text
+        last = np.zeros(len(sizes), dtype=bool)
+        last[sizes > 0] = ends[starts[1:][sizes > 0] - 1]
+        begin = np.ones(len(codes), dtype=bool)
+        begin[1:] = ends[:-1]
+        begin[starts[:-1][sizes > 0]] = True
+        heads = np.flatnonzero(begin)
+        place = np.arange(len(codes)) - heads[np.cumsum(begin) - 1]
+        good = ~null & (count((codes < 0) | (codes > 63) | (place > 12)) == 0) & (count(ends) % 2 == 0) & (last | (sizes == 0))
+        kept = np.repeat(good, sizes)
+        heads = np.flatnonzero(begin[kept])
+        z = np.add.reduceat((codes[kept] & 31).astype(np.uint64) << (np.minimum(place[kept], 12) * 5).astype(np.uint64), heads) if len(heads) else np.zeros(0, dtype=np.uint64)
+        v = ((z >> np.uint64(1)) ^ -(z & np.uint64(1))).view(np.int64).reshape(-1, 2)
+        n = np.where(good, count(ends) // 2, 0)
+        at = np.concatenate([[0], np.cumsum(n)])
+        sums = np.concatenate([np.zeros((1, 2), dtype=np.int64), np.cumsum(v, axis=0)])
+        points = (sums[1:] - np.repeat(sums[at[:-1]], n, axis=0)) / float(precision)
+        values = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["lat", "lon"])
+        offsets = pa.array([None if bad and k < len(good) else x for k, (x, bad) in enumerate(zip(at.tolist(), [*(~good), False], strict=True))], pa.int32())
+        return pa.ListArray.from_arrays(offsets, values)
+
+    return F.arrow_udf(run, "array<struct<lat:double,lon:double>>")
 
 
 def decode(text: Column) -> Column:
-    """array<struct<lat, lon>>; null for a text with a character outside 63..126 or an unfinished number."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) - 63)
-    zero = F.struct(F.lit(0).cast("long").alias("v"), F.lit(0).alias("shift"), F.array().cast("array<long>").alias("out"))
-
-    def step(s, c):
-        v = s["v"] + (c.bitwiseAND(F.lit(31))).cast("long") * F.pow(F.lit(2.0), s["shift"].cast("double")).cast("long")
-        signed = F.when(v.bitwiseAND(F.lit(1).cast("long")) == 1, F.bitwise_not(F.shiftright(v, 1))).otherwise(F.shiftright(v, 1))
-        more = c >= 32
-        return F.struct(
-            F.when(more, v).otherwise(F.lit(0).cast("long")).alias("v"), F.when(more, s["shift"] + 5).otherwise(F.lit(0)).alias("shift"),
-            F.when(more, s["out"]).otherwise(F.concat(s["out"], F.array(signed))).alias("out"),
-        )
-
-    read = F.aggregate(codes, zero, step)
-    deltas = read["out"]
-    n = F.size(deltas)
-    points = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), (n / 2).cast("int"))),
-        lambda k: F.struct(
-            (F.aggregate(F.filter(deltas, lambda x, i: (i < 2 * k) & (i % 2 == 0)), F.lit(0).cast("long"), lambda a, x: a + x) / float(PRECISION)).alias("lat"),
-            (F.aggregate(F.filter(deltas, lambda x, i: (i < 2 * k) & (i % 2 == 1)), F.lit(0).cast("long"), lambda a, x: a + x) / float(PRECISION)).alias("lon"),
-        ),
-    )
-    good = F.forall(codes, lambda c: (c >= 0) & (c <= 63)) & (read["shift"] == 0) & (n % 2 == 0)
-    empty = F.array().cast("array<struct<lat:double,lon:double>>")
-    return F.when(good & (n == 0), empty).when(good, points)
+    """array<struct<lat, lon>>; null for a text with a character outside 63..126, an unfinished number or one of over 13 characters. In time proportional to the text."""
+    return _decode(PRECISION)(text)
 
 
 def encode_points(points) -> str:

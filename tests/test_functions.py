@@ -155,3 +155,15 @@ def test_locations_of_requests(spark):
     for bad in ([{"lat": 1}], "!"):
         with pytest.raises(ValueError):
             files.locations(spark, bad)
+
+
+def test_long_polylines_and_odd_texts(spark):
+    line = [(48 + k * 0.002 + k * 7919 % 97 * 5e-6, 11 - k * 0.003) for k in range(20_000)]
+    rows = spark.createDataFrame([(0, line), (1, []), (2, None), (3, line[:1]), (4, [(-0.000005, 0.000015), (-90.0, 180.0)])], "k long, p array<struct<lat:double,lon:double>>")
+    rows = rows.coalesce(1).select("k", "p", polyline.encode(F.col("p")).alias("text"))
+    got = {r["k"]: r for r in rows.select("k", "p", "text", polyline.decode(F.col("text")).alias("back")).collect()}  # once minutes, by quadratic expressions
+    assert all(got[k]["text"] == polyline.encode_points(got[k]["p"] or []) for k in got)
+    assert all([tuple(q) for q in got[k]["back"]] == polyline.decode_points(got[k]["text"]) for k in got)
+    odd = spark.createDataFrame([(0, "??"), (1, None), (2, "_p~"), (3, TEXT), (4, "é?"), (5, "?"), (6, "")], "k long, t string").coalesce(1)
+    back = {r["k"]: r["x"] for r in odd.select("k", polyline.decode(F.col("t")).alias("x")).collect()}
+    assert [back[k] for k in (1, 2, 4, 5)] == [None] * 4 and back[6] == [] and [tuple(q) for q in back[0]] == [(0.0, 0.0)] and [tuple(q) for q in back[3]] == LINE
