@@ -210,6 +210,35 @@ def test_both_searches_find_what_a_heap_finds(spark, backend, budget):
             assert (p["cost"] + c, p["metres"] + m) == (x["cost"], x["metres"])
 
 
+def test_searches_go_together_and_are_dealt_to_many_tasks(spark):
+    r = random.Random(9)
+    step = {(a, b): (r.choice((0, 3, 7)), r.randint(0, 4)) for a, b in ((r.randrange(80), r.randrange(80)) for _ in range(260)) if a != b}
+    edges = defaultdict(list)
+    for (a, b), (c, m) in step.items():
+        edges[a].append((b, c, m))
+    seeds = [(o, o, 1, 2) for o in range(40)] + [(o, o + 40, 5, 0) for o in range(40)]
+    want = _by_hand(edges, seeds)
+    graph = spark.createDataFrame([(a, b, c, m) for (a, b), (c, m) in step.items()], "from_en long, to_en long, cost long, metres long")
+    start = spark.createDataFrame(seeds, "origin long, en_id long, cost long, metres long")
+    found = search.shortest_paths(graph, start).withColumn("task", F.spark_partition_id()).collect()
+    assert {(x["origin"], x["en_id"]): (x["cost"], x["metres"]) for x in found} == want
+    assert len({x["task"] for x in found}) > 4  # once one task, as the seeds are few bytes
+    into = spark.createDataFrame([(g, 1000 + g, e, 2, 1) for g in range(10) for e in (g * 7 % 80, g * 11 % 80)], "goal long, goal_en long, from_en long, cost long, metres long")
+    pairs = spark.createDataFrame([(o, o % 10) for o in range(40)], "origin long, goal long")
+    ends = spark.createDataFrame([(k, 48.0, 11.0) for k in range(80)], "en_id long, lat double, lon double")
+    least = {}
+    for o, g in ((o, o % 10) for o in range(40)):
+        if some := [(want[o, e][0] + 2, want[o, e][1] + 1) for e in (g * 7 % 80, g * 11 % 80) if (o, e) in want]:
+            least[o, g] = min(some)
+    first = {(o, e): (c, m) for o, e, c, m in seeds}
+    for algorithm in (None, *search.ALGORITHMS):
+        got = search.to_goals(graph, start, into, pairs, algorithm, ends).collect()
+        assert {(x["origin"], x["goal"]): (x["cost"], x["metres"]) for x in got} == least
+        for x in got:
+            walk = [first[x["origin"], x["path"][0]], *(step[e] for e in zip(x["path"], x["path"][1:]))]
+            assert (sum(c for c, _ in walk) + 2, sum(m for _, m in walk) + 1) == (x["cost"], x["metres"]) and x["path"][-1] == x["last_en"]
+
+
 def test_countries(spark, tmp_path):
     square = lambda y, x, n: [[x, y], [x + n, y], [x + n, y + n], [x, y + n], [x, y]]
     doc = {"type": "FeatureCollection", "features": [
