@@ -14,10 +14,27 @@ from strada.llm.common import materialize, table, work_dir
 from strada.llm.tokens import resolve
 
 
-def _kept(docs: DataFrame, kept: DataFrame, mark: Column) -> DataFrame:
-    """The rows of docs whose doc_id and mark (of their text) are in kept; of rows with equal ones the first in the order of their columns."""
-    rows = docs.withColumn("_mark", mark).join(kept.toDF("doc_id", "_mark"), ["doc_id", "_mark"], "left_semi")
-    return rows.groupBy("doc_id", "_mark").agg(F.min(F.struct(*docs.columns)).alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+#: Keys of dropped or repeated rows that are broadcast; more are met by a shuffle, hashed and not sorted.
+BROADCAST = 100_000
+
+
+def _kept(docs: DataFrame, kept: DataFrame, mark: Column, path: str) -> DataFrame:
+    """The rows of docs whose doc_id and mark (of their text) are in kept; of rows with equal ones the first in the order of their columns.
+
+    Texts are neither sorted nor, while few rows are dropped, shuffled: only the keys of those that go or repeat meet the rows.
+    """
+    by = ["doc_id", "_mark"]
+    rows = docs.withColumn("_mark", mark).where("doc_id IS NOT NULL AND _mark IS NOT NULL")
+    stay = kept.toDF(*by).distinct().withColumn("stays", F.lit(True))
+    odd = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(stay, by, "left").where("stays IS NULL OR n > 1")
+    odd = materialize(odd.select(*by, "stays"), f"{path}/odd")
+    n, repeated = odd.agg(F.count(F.lit(1)), F.count("stays")).first()
+    met = lambda some: F.broadcast(some) if n <= BROADCAST else some.hint("shuffle_hash")
+    out = rows.join(met(odd.select(*by)), by, "left_anti").select(docs.columns)
+    if not repeated:
+        return out
+    again = rows.join(met(odd.where("stays").select(*by)), by, "left_semi").groupBy(*by).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(again.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +45,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     folded = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    found = exact_dedup.exact_dedup(docs, work_dir(spark)).where("kept").select("doc_id", "text_sha256")
-    return _kept(docs, found, F.sha2(folded.cast("binary"), 256))
+    path = work_dir(spark)
+    found = exact_dedup.exact_dedup(docs, path).where("kept").select("doc_id", "text_sha256")
+    return _kept(docs, found, F.sha2(folded.cast("binary"), 256), path)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a component's rows with its smallest doc_id, the one of the smallest mark stays; rows without words all stay."""
-    found = near_dedup.components_of(docs, work_dir(spark)).where("doc_id = component_id")
+    path = work_dir(spark)
+    found = near_dedup.components_of(docs, path).where("doc_id = component_id")
     one = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "mark")).alias("one")).select("one.doc_id", "one.mark")
-    return _kept(docs, one.unionByName(found.where("comp IS NULL").select("doc_id", "mark")), near_dedup.mark_of(F.col("text")))
+    return _kept(docs, one.unionByName(found.where("comp IS NULL").select("doc_id", "mark")), near_dedup.mark_of(F.col("text")), path)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

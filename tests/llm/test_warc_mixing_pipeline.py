@@ -212,3 +212,23 @@ def test_archives_are_what_sql_finds(spark, path, data):
     for row in data:
         con.execute("INSERT INTO pages VALUES (?, ?, ?)", row)
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(warc.SQL).fetchall()))
+
+
+def test_rows_that_stay_are_neither_sorted_nor_shuffled(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(k, f"text {k % 7}" if k % 3 else f"own {k}", "en") for k in range(60)] + [(58, "text 2", "de"), (58, "text 2", "en")], "doc_id long, text string, lang string")
+    for most in (100_000, 0):
+        corpus_pipeline.BROADCAST, was = most, corpus_pipeline.BROADCAST
+        try:
+            out = corpus_pipeline.drop_exact_copies(spark, docs, str(tmp_path))
+            rows = sorted(map(tuple, out.collect()))
+        finally:
+            corpus_pipeline.BROADCAST = was
+        plan = corpus_pipeline.drop_exact_copies(spark, docs.where("lang = 'en' AND doc_id < 58"), str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Aggregate" not in plan
+        want, data = {}, sorted(map(tuple, docs.collect()))
+        for r in data:
+            if r[0] == max(x[0] for x in data if x[1] == r[1]):
+                want.setdefault(r[:2], r)
+        assert rows == sorted(want.values())
