@@ -129,3 +129,11 @@ def test_special_tokens_in_other_cases_are_plain_text(name):
     texts = ["a <|ENDOFTEXT|> b", "a <|EndOfText|> b", "<|ENDOFTEXT|>", "a <|endoftext|> b <|ENDOFTEXT|> c"]
     for t, ids in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_an_encoder_remembers_the_pieces_of_many_texts():
+    from strada.llm import tokens
+
+    e = tokens.Encoder(tokens.resolve("byte_bpe_50k.json"), True)
+    e.encode([" ".join(f"w{k}" for k in range(at, at + 1000)) for at in range(0, 200_000, 1000)])
+    assert len(e.new) >= 199_000 and not e.old  # once the first ones were dropped, and encoded again with the next texts
