@@ -5,13 +5,15 @@ from __future__ import annotations
 import ctypes
 import gc
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strada.steps import materialize, ship, work_dir
 
-__all__ = ["batch_of", "crc_mod", "materialize", "n_partitions", "prepared", "ship", "table", "texts_of", "tidied", "work_dir"]
+__all__ = ["batch_of", "crc_mod", "materialize", "n_partitions", "prepared", "ship", "slices", "table", "texts_of", "tidied", "work_dir"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,17 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in schema], schema=schema)
 
 
+def slices(batches, column: int, most: int):
+    """Arrow batches cut so that the strings or binaries of column have at most so many bytes, or are one: what is made of a slice goes before the next is begun."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            last = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+            yield b.slice(at, max(1, min(last, b.num_rows) - at))
+            at = max(at + 1, last)
+
+
 def tidied(run):
     """run, a function of mapInArrow, that gives the worker's free memory back at its end: workers outlive stages, and what one stage has freed would else count against the next."""
 

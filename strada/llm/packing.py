@@ -3,7 +3,8 @@
 The first pass encodes each document once and writes its ids with its place in its own partition, counted as the rows go
 by, and adds up the ids of each partition. Prefix sums over these totals (one number a partition, on the driver) give each
 partition's global offset. The second pass knows each document's global place, and so its windows: a document that
-crosses a window's edge has one boundary record for each window. No row is shuffled and no window is gathered.
+crosses a window's edge has one boundary record for each window. No row is shuffled and no window is gathered. Both passes
+take few MB of texts or ids at a time, and no more, however many rows an Arrow batch has.
 
 Cases. Null text is empty: the document is its end id alone. Rows with a null doc_id are left out; rows that repeat a
 doc_id are documents of their own. An empty table gives an empty result. Only the last sequence may be short: it is padded
@@ -20,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strada.llm.common import materialize, prepared, table, tidied, work_dir
-from strada.llm.tokens import encoder, resolve
+from strada.llm.common import materialize, prepared, slices, table, tidied, work_dir
+from strada.llm.tokens import TOGETHER, encoder, resolve
 
 LENGTH = 2048
 #: Partitions whose offsets are broadcast.
@@ -35,7 +36,7 @@ def encoded(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str, t
         part, tokens, before = TaskContext.get().partitionId(), encoder(tokenizer, True), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         small = tokens.tokenizer.get_vocab_size() <= 1 << 16
-        for b in batches:
+        for b in slices(batches, 1, TOGETHER):
             ids = [i + end for i in tokens.encode(b.column(1).to_pylist())]
             counts = np.array([len(i) // 4 for i in ids], dtype=np.int64)
             places = before + np.cumsum(counts) - counts
@@ -63,7 +64,7 @@ def pack(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, length: in
     n_full = total // length
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 3, TOGETHER):
             out: list[list] = [[] for _ in range(8)]
             for doc_id, first, n, ids in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 width = len(ids) // n
@@ -81,7 +82,7 @@ def pack(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, length: in
     if len(firsts) <= BROADCAST:  # 16 bytes a partition; beyond, the ids are shuffled by part
         bases = F.broadcast(bases)
     placed = own.join(bases, "part").select("doc_id", (F.col("first") + F.col("before")).alias("first"), "n", "ids")
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long")
+    return placed.mapInArrow(tidied(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long")
 
 
 def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

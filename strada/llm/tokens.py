@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 #: Pieces in each of the two generations that a worker remembers; the older one is dropped when the newer is full.
 REMEMBERED = 400_000
 #: Characters of the texts that are cut together.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 _MARK = "\x01"
 
 

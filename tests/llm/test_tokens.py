@@ -2,6 +2,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -137,3 +138,14 @@ def test_an_encoder_remembers_the_pieces_of_many_texts():
     e = tokens.Encoder(tokens.resolve("byte_bpe_50k.json"), True)
     e.encode([" ".join(f"w{k}" for k in range(at, at + 1000)) for at in range(0, 200_000, 1000)])
     assert len(e.new) >= 199_000 and not e.old  # once the first ones were dropped, and encoded again with the next texts
+
+
+def test_batches_are_cut_by_their_bytes():
+    from strada.llm.common import slices
+
+    def cut(*lengths):
+        b = pa.RecordBatch.from_arrays([pa.array(range(len(lengths))), pa.array([None if n is None else "é" * (n // 2) for n in lengths], pa.string())], ["a", "text"])
+        return [s.column("a").to_pylist() for s in slices([b.slice(0, 0), b], 1, 10)]
+
+    assert cut() == [] and cut(0, 0) == [[0, 1]] and cut(30) == [[0]]
+    assert cut(6, 4, 6, 30, 2, 0) == [[0, 1], [2], [3], [4, 5]] and cut(None, 4, None) == [[0, 1, 2]] and cut(0, 0, 30, 0, 0) == [[0, 1], [2], [3, 4]]
