@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from strada.plans import oracle, queries
+from strada.plans import oracle, queries, services
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("customer", "supplier", "part", "orders")
@@ -39,3 +39,10 @@ def test_every_sql_text_has_its_query():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+def test_one_way_is_told_without_the_network(spark, monkeypatch):
+    built = services.inspect(queries.net(spark, SF), 1000).collect()
+    monkeypatch.setattr(queries, "net", lambda s, d: pytest.fail("the whole network was built"))
+    assert [r["path"] for r in queries.inspect_way(spark, SF).collect()] == [r["path"] for r in built]

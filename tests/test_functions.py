@@ -167,3 +167,10 @@ def test_long_polylines_and_odd_texts(spark):
     odd = spark.createDataFrame([(0, "??"), (1, None), (2, "_p~"), (3, TEXT), (4, "é?"), (5, "?"), (6, "")], "k long, t string").coalesce(1)
     back = {r["k"]: r["x"] for r in odd.select("k", polyline.decode(F.col("t")).alias("x")).collect()}
     assert [back[k] for k in (1, 2, 4, 5)] == [None] * 4 and back[6] == [] and [tuple(q) for q in back[0]] == [(0.0, 0.0)] and [tuple(q) for q in back[3]] == LINE
+
+
+def test_maps_of_constants(spark):
+    for d in ({"a": 1, "b:c d": -2, "": 0}, {1: "x", 2: ""}, {"it's": 1, 'a"\\': 2}, {"a": 1.5}, {"a": True}, T.NAMED_SPEEDS):
+        got = spark.range(1).select(T.literal_map(d).alias("m"))
+        assert got.first()["m"] == d
+    assert got.schema["m"].dataType.simpleString() == "map<string,int>"
