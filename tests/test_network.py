@@ -6,6 +6,7 @@ import urllib.error
 import urllib.request
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +309,23 @@ def test_a_stream_is_snapped(spark, net, tmp_path):
     stream = spark.readStream.schema(at.schema).parquet(str(tmp_path / "in"))
     snap_stream(stream, net, f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
     assert {r["loc"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {0}
+
+
+def test_ways_on_one_segment_merge_in_arrays(monkeypatch):
+    """All goals of an origin were once turned into Python's numbers for the few that lie on its segment."""
+    at = {"goal": [2, 5, 6, 9], "w": [7, 7, 7, 7], "to_en": [1, 2, 3, 4], "last_en": [11, 12, 13, 14]}
+    along = [{"goal": g, "w": w, "to_en": e} for g, w, e in [(2, 8, 0), (5, 7, 2), (6, 7, 4), (9, 6, 8), (9, 6, 7), (1, 5, 5), (12, 3, 6)]]
+    want = sorted([(1, 5, 5, None), (2, 7, 1, 11), (5, 7, 2, None), (6, 7, 3, 13), (9, 6, 7, None), (12, 3, 6, None)])
+    for near, kind in ((along, list), (along, np.array)):
+        got = search._answers(0, *(kind(x) for x in at.values()), None, near).to_pydict()
+        assert sorted(zip(*(got[c] for c in at), strict=True)) == want and set(got["path"]) == {None}
+    empty = np.zeros(0, dtype=np.int64)
+    assert search._answers(0, empty, empty, empty, empty, None, along[-1:]).column("goal").to_pylist() == [12]
+
+
+def test_a_route_snaps_its_stops_once(net, spark, monkeypatch):
+    times = []
+    monkeypatch.setattr(services, "snapped", lambda n, places, o, f=services.snapped: times.append(1) or f(n, places, o))
+    stops = spark.createDataFrame([(1, 0, 1, 48.0, 11.001), (1, 1, 2, 48.0, 11.009)], "trip long, pos long, loc long, lat double, lon double")
+    services.route(net, stops, services.Options("car"))
+    assert len(times) == 1
