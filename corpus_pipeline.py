@@ -16,6 +16,8 @@ from strada.llm.tokens import resolve
 
 #: Keys of dropped or repeated rows that are broadcast; more are met by a shuffle, hashed and not sorted.
 BROADCAST = 100_000
+#: Bytes of texts that a worker packs at a time: fewer than packing alone takes, as the stages before have left executors with less room.
+TOGETHER = 2_000_000
 
 
 def _kept(docs: DataFrame, kept: DataFrame, mark: Column, path: str) -> DataFrame:
@@ -63,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, work_dir(spark), resolve("byte_bpe_50k.json"))
+    return packing.pack(docs, work_dir(spark), resolve("byte_bpe_50k.json"), together=TOGETHER)
 
 
 STAGES = [

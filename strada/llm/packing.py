@@ -29,14 +29,14 @@ LENGTH = 2048
 BROADCAST = 500_000
 
 
-def encoded(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str, text: str) -> DataFrame:
+def encoded(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str, text: str, together: int) -> DataFrame:
     """(part, doc_id, before, ids): before counts the ids of the same part ahead of the document; ids as unsigned 16 or 32 bits."""
 
     def run(batches):
         part, tokens, before = TaskContext.get().partitionId(), encoder(tokenizer, True), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         small = tokens.tokenizer.get_vocab_size() <= 1 << 16
-        for b in slices(batches, 1, TOGETHER):
+        for b in slices(batches, 1, together):
             ids = [i + end for i in tokens.encode(b.column(1).to_pylist())]
             counts = np.array([len(i) // 4 for i in ids], dtype=np.int64)
             places = before + np.cumsum(counts) - counts
@@ -50,10 +50,10 @@ def encoded(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str, t
     return materialize(prepared(docs, key, text).mapInArrow(tidied(run), "part long, doc_id long, before long, n long, ids binary"), f"{path}/encoded")
 
 
-def pack(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to."""
+def pack(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, length: int = LENGTH, key: str = "doc_id", text: str = "text", together: int = TOGETHER) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to. together: bytes of texts or ids that a worker takes at a time."""
     spark = docs.sparkSession
-    own = encoded(docs, path, tokenizer, end_id, key, text)
+    own = encoded(docs, path, tokenizer, end_id, key, text, together)
     totals = own.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one row a partition
     firsts, total = [], 0
     for r in totals:
@@ -64,7 +64,7 @@ def pack(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, length: in
     n_full = total // length
 
     def run(batches):
-        for b in slices(batches, 3, TOGETHER):
+        for b in slices(batches, 3, together):
             out: list[list] = [[] for _ in range(8)]
             for doc_id, first, n, ids in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 width = len(ids) // n
