@@ -329,3 +329,20 @@ def test_a_route_snaps_its_stops_once(net, spark, monkeypatch):
     stops = spark.createDataFrame([(1, 0, 1, 48.0, 11.001), (1, 1, 2, 48.0, 11.009)], "trip long, pos long, loc long, lat double, lon double")
     services.route(net, stops, services.Options("car"))
     assert len(times) == 1
+
+
+def test_places_alike_are_searched_once(net, spark, monkeypatch):
+    """Every location was once searched for itself, also where many lie on the same point."""
+    asked = []
+    monkeypatch.setattr(search, "to_goals", lambda graph, seeds, into, pairs, *more, f=search.to_goals: asked.append((seeds.select("origin").distinct().count(), pairs and pairs.count())) or f(graph, seeds, into, pairs, *more))
+    points = [(48.0, 11.0025), (48.0, 11.015), (48.0, 11.025)]
+    few, many = _places(spark, *points), _places(spark, *points * 5)
+    once = {(r["from"], r["to"]): (r["duration_ms"], r["length_m"]) for r in services.matrix(net, few, few).collect()}
+    assert len(once) == 9
+    got = {(r["from"], r["to"]): (r["duration_ms"], r["length_m"]) for r in services.matrix(net, many, many).collect()}
+    assert got == {(a, b): once[a % 3, b % 3] for a in range(15) for b in range(15)}
+    stops = many.select(F.lit(1).cast("long").alias("trip"), F.col("loc").alias("pos"), "loc", "lat", "lon")
+    for algorithm in search.ALGORITHMS[:2]:
+        legs = services.legs(net, stops, Options(algorithm=algorithm)).collect()
+        assert {(r["leg"], r["from"], r["to"]): (r["duration_ms"], r["length_m"]) for r in legs} == {(k, k, k + 1): once[k % 3, (k + 1) % 3] for k in range(14)}
+    assert len(legs) == 14 and asked == [(3, None), (3, None)] + [(3, 3)] * 2
