@@ -346,3 +346,13 @@ def test_places_alike_are_searched_once(net, spark, monkeypatch):
         legs = services.legs(net, stops, Options(algorithm=algorithm)).collect()
         assert {(r["leg"], r["from"], r["to"]): (r["duration_ms"], r["length_m"]) for r in legs} == {(k, k, k + 1): once[k % 3, (k + 1) % 3] for k in range(14)}
     assert len(legs) == 14 and asked == [(3, None), (3, None)] + [(3, 3)] * 2
+
+
+def test_points_alike_are_snapped_once(net, spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(snap, "snap", lambda locations, *more, f=snap.snap, **named: asked.append(locations.count()) or f(locations, *more, **named))
+    rows = [(1, 48.0, 11.0025, 900.0), (2, 48.0, 11.0025, 900.0), (3, 48.0, 11.0025, None), (4, 48.0, 11.0025, None), (5, 48.001, 11.0025, 50.0), (6, None, 11.0, None), (1, 48.0, 11.0025, 900.0), (7, 48.0, 11.015, 9.0), (7, 48.0, 11.0025, 900.0)]
+    at = spark.createDataFrame(rows, "loc long, lat double, lon double, radius_m double")
+    got = sorted(services.snapped(net, at, Options("car")).select("loc", "en_id", "distance_m").collect())
+    assert got == sorted(snap.snap(at, services._usable(net, Options("car"))).select("loc", "en_id", "distance_m").collect())
+    assert {r["loc"] for r in got} == {1, 2, 3, 4, 7} and asked == [6, 9]
