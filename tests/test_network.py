@@ -356,3 +356,26 @@ def test_points_alike_are_snapped_once(net, spark, monkeypatch):
     got = sorted(services.snapped(net, at, Options("car")).select("loc", "en_id", "distance_m").collect())
     assert got == sorted(snap.snap(at, services._usable(net, Options("car"))).select("loc", "en_id", "distance_m").collect())
     assert {r["loc"] for r in got} == {1, 2, 3, 4, 7} and asked == [6, 9]
+
+
+def test_origins_with_the_same_seeds_share_a_search(spark, monkeypatch):
+    """Every origin was once searched for itself; shared or not, the rows are those of a heap."""
+    r = random.Random(3)
+    step = {(a, b): (r.randint(1, 9), r.randint(0, 4)) for a, b in ((r.randrange(50), r.randrange(50)) for _ in range(150)) if a != b}
+    edges = defaultdict(list)
+    for (a, b), (c, m) in step.items():
+        edges[a].append((b, c, m))
+    seeds = [(o, e, 1 + o % 3, 2) for o in range(150) for e in (o % 3, 20 + o % 3, 900)] + [(0, 0, 1, 2), (200, 7, 0, 0), (201, 901, 4, 4)]
+    want = _by_hand(edges, seeds)
+    graph = spark.createDataFrame([(a, b, c, m) for (a, b), (c, m) in step.items()], "from_en long, to_en long, cost long, metres long")
+    start = spark.createDataFrame(seeds, "origin long, en_id long, cost long, metres long")
+    assert search._by_seeds(start.withColumn("w", search.weight(F.col("cost"), F.col("metres")))).count() == 5
+    for together, shared, preds in ((64, 1 << 16, True), (7, 20, False)):
+        monkeypatch.setattr(search, "TOGETHER", together)
+        monkeypatch.setattr(search, "SHARED", shared)
+        got = search.shortest_paths(graph, start, preds=preds).collect()
+        assert len(got) == len(want) and {(x["origin"], x["en_id"]): (x["cost"], x["metres"]) for x in got} == want
+        assert all((x["pred"] is not None) == preds or x["en_id"] >= 900 for x in got)
+    lists = list(search._found([[1, 2, 3], [4]], np.repeat([0, 1], [50, 9]), np.arange(59), np.arange(59) * search.METRES + 7, None))
+    assert all(len(o) * len(e) <= search.SHARED for b in lists for o, e in zip(b["origins"].to_pylist(), b["en"].to_pylist(), strict=True))
+    assert [(c, m) for b in lists for x, y in zip(b["costs"].to_pylist(), b["lengths"].to_pylist(), strict=True) for c, m in zip(x, y, strict=True)] == [(k, 7) for k in range(59)]
