@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strada.llm.tokens import forget
 from strada.steps import materialize, ship, work_dir
 
 __all__ = ["batch_of", "crc_mod", "materialize", "n_partitions", "prepared", "ship", "slices", "table", "texts_of", "tidied", "work_dir"]
@@ -46,10 +47,15 @@ def slices(batches, column: int, most: int):
             at = max(at + 1, last)
 
 
-def tidied(run):
-    """run, a function of mapInArrow, that gives the worker's free memory back at its end: workers outlive stages, and what one stage has freed would else count against the next."""
+def tidied(run, encodes: bool = False):
+    """run, a function of mapInArrow, that gives the worker's free memory back at its end: workers outlive stages, and what one stage has freed would else count against the next.
+
+    Unless it encodes, the encoders that the worker keeps between tasks go before it begins: their stage is over.
+    """
 
     def then(batches):
+        if not encodes:
+            forget()
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strada.llm.common import crc_mod, prepared, ship, table, tidied, work_dir
+from strada.llm.common import crc_mod, prepared, ship, slices, table, tidied, work_dir
 
 PER_LANGUAGE, NGRAMS, PENALTY, TOLERANCE = 1500, 40_000, 2.0, 0.01
 #: Numbers in a model at most, one for each n-gram and language: 64 MB to broadcast.
 NUMBERS = 1 << 24
-#: Letters whose n-grams have a dense table (those of others are searched), and characters of the texts that are taken together.
+#: Letters whose n-grams have a dense table (those of others are searched), and characters (of Arrow batches: bytes) of the texts that are taken together.
 LETTERS, TOGETHER = 200, 2_000_000
 #: Of the letter, the bigram and the trigram in a letter's probability.
 WEIGHTS = (0.1, 0.3, 0.6)
@@ -260,7 +260,7 @@ def identify(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "tex
 
     def run(batches):
         held = sent.value
-        for b in batches:
+        for b in slices(batches, 1, TOGETHER):
             names, scores, sets = predict(held, langs, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string()))], ["doc_id", "lang_pred", "score", "langs"])
 
@@ -291,7 +291,7 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held = sent.value
-        for b in batches:
+        for b in slices(batches, names.index("text"), TOGETHER):
             found, _, _ = predict(held, langs, b.column(names.index("text")).to_pylist())
             columns = list(b.columns)
             k = names.index("lang")

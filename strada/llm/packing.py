@@ -47,7 +47,7 @@ def encoded(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str, t
                 pa.array(np.full(len(ids), part, dtype=np.int64)), b.column(0), pa.array(places), pa.array(counts), pa.array(ids, pa.binary()),
             ], ["part", "doc_id", "before", "n", "ids"])
 
-    return materialize(prepared(docs, key, text).mapInArrow(tidied(run), "part long, doc_id long, before long, n long, ids binary"), f"{path}/encoded")
+    return materialize(prepared(docs, key, text).mapInArrow(tidied(run, encodes=True), "part long, doc_id long, before long, n long, ids binary"), f"{path}/encoded")
 
 
 def pack(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, length: int = LENGTH, key: str = "doc_id", text: str = "text", together: int = TOGETHER) -> DataFrame:

@@ -149,3 +149,32 @@ def test_batches_are_cut_by_their_bytes():
 
     assert cut() == [] and cut(0, 0) == [[0, 1]] and cut(30) == [[0]]
     assert cut(6, 4, 6, 30, 2, 0) == [[0, 1], [2], [3], [4, 5]] and cut(None, 4, None) == [[0, 1, 2]] and cut(0, 0, 30, 0, 0) == [[0, 1], [2], [3, 4]]
+
+
+@pytest.mark.parametrize("name,spaced", NAMES)
+def test_remembered_pieces_take_few_bytes(name, spaced):
+    import gc
+    import tracemalloc
+
+    e, texts = Encoder(resolve(name), spaced), [" ".join(f"w{k}" for k in range(at, at + 1000)) for at in range(0, 100_000, 1000)]
+    tracemalloc.start()
+    try:
+        before = pa.total_allocated_bytes()
+        e.encode(texts)
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert len(e.new) >= 99_000 and held < 60 * len(e.new)  # a dict of strings and bytes: 140 each and more
+
+
+def test_other_tasks_drop_a_workers_encoder():
+    from strada.llm import tokens
+    from strada.llm.common import tidied
+
+    path = resolve("byte_bpe_50k.json")
+    held = tokens.encoder(path, True)
+    assert list(tidied(iter, encodes=True)([1])) == [1] and tokens.encoder(path, True) is held
+    assert list(tidied(iter)([1])) == [1] and not tokens._encoders
+    assert tokens.encoder(path, True).encode(["a b"]) == held.encode(["a b"])
+    tokens.forget()
