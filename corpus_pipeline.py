@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, mixing and packing, each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
-columns of documents; the last returns the pieces of the packed sequences.
+columns of documents; the last returns the pieces of the packed sequences. The stages set how many bytes an Arrow batch has
+for the session, as what they return runs later; other queries of the session get the same rows, in smaller batches.
 """
 
 from __future__ import annotations
@@ -18,6 +19,14 @@ from strada.llm.tokens import resolve
 BROADCAST = 100_000
 #: Bytes of texts that a worker packs at a time: fewer than packing alone takes, as the stages before have left executors with less room.
 TOGETHER = 2_000_000
+#: Bytes of an Arrow batch for Python workers: a worker holds two at once, an executor buffers that grow by doubling for each.
+BATCH = 4_000_000
+
+
+def _begin(spark: SparkSession) -> str:
+    """A new work folder, for a stage whose batches are small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return work_dir(spark)
 
 
 def _kept(docs: DataFrame, kept: DataFrame, mark: Column, path: str) -> DataFrame:
@@ -41,31 +50,31 @@ def _kept(docs: DataFrame, kept: DataFrame, mark: Column, path: str) -> DataFram
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (no letter at all); fills a null lang with the prediction."""
-    work_dir(spark)
+    _begin(spark)
     return language.accepted(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     folded = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = work_dir(spark)
+    path = _begin(spark)
     found = exact_dedup.exact_dedup(docs, path).where("kept").select("doc_id", "text_sha256")
     return _kept(docs, found, F.sha2(folded.cast("binary"), 256), path)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a component's rows with its smallest doc_id, the one of the smallest mark stays; rows without words all stay."""
-    path = work_dir(spark)
+    path = _begin(spark)
     found = near_dedup.components_of(docs, path).where("doc_id = component_id")
     one = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc_id", "mark")).alias("one")).select("one.doc_id", "one.mark")
     return _kept(docs, one.unionByName(found.where("comp IS NULL").select("doc_id", "mark")), near_dedup.mark_of(F.col("text")), path)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.sampled(docs, work_dir(spark))
+    return mixing.sampled(docs, _begin(spark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, work_dir(spark), resolve("byte_bpe_50k.json"), together=TOGETHER)
+    return packing.pack(docs, _begin(spark), resolve("byte_bpe_50k.json"), together=TOGETHER)
 
 
 STAGES = [

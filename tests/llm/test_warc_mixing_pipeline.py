@@ -232,3 +232,24 @@ def test_rows_that_stay_are_neither_sorted_nor_shuffled(spark, tmp_path):
             if r[0] == max(x[0] for x in data if x[1] == r[1]):
                 want.setdefault(r[:2], r)
         assert rows == sorted(want.values())
+
+
+def test_workers_get_small_batches_in_the_pipeline(spark, monkeypatch):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    def sizes(docs):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+        return docs.mapInArrow(run, "rows long, bytes long")
+
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('some text ', 500) AS text", "'en' AS lang").coalesce(1)
+    monkeypatch.setattr(corpus_pipeline.language, "accepted", sizes)
+    try:
+        found = corpus_pipeline.identify_language(spark, docs, "").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert sum(r["rows"] for r in found) == 3000 and max(r["bytes"] for r in found) < 1.1 * corpus_pipeline.BATCH
