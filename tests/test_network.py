@@ -379,3 +379,19 @@ def test_origins_with_the_same_seeds_share_a_search(spark, monkeypatch):
     lists = list(search._found([[1, 2, 3], [4]], np.repeat([0, 1], [50, 9]), np.arange(59), np.arange(59) * search.METRES + 7, None))
     assert all(len(o) * len(e) <= search.SHARED for b in lists for o, e in zip(b["origins"].to_pylist(), b["en"].to_pylist(), strict=True))
     assert [(c, m) for b in lists for x, y in zip(b["costs"].to_pylist(), b["lengths"].to_pylist(), strict=True) for c, m in zip(x, y, strict=True)] == [(k, 7) for k in range(59)]
+
+
+def test_searches_are_dealt_where_a_shuffle_has_as_many_tasks(spark):
+    """Dealt by origin, as they are grouped, all searches to goals lay in one task, which the seeds' few bytes filled."""
+    graph = spark.createDataFrame([(k, k + 1, 2, 1) for k in range(40)], "from_en long, to_en long, cost long, metres long")
+    start = spark.createDataFrame([(o, o, 1, 0) for o in range(40)], "origin long, en_id long, cost long, metres long")
+    into = spark.createDataFrame([(7, 41, 40, 3, 3)], "goal long, goal_en long, from_en long, cost long, metres long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 4 * spark.sparkContext.defaultParallelism)
+    try:
+        for pairs in (None, start.select("origin", F.lit(7).cast("long").alias("goal"))):
+            got = search.to_goals(graph, start, into, pairs).withColumn("task", F.spark_partition_id()).collect()
+            assert {x["origin"]: (x["cost"], x["metres"]) for x in got} == {o: (1 + 2 * (40 - o) + 3, 40 - o + 3) for o in range(40)}
+            assert len({x["task"] for x in got}) > 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
