@@ -395,3 +395,15 @@ def test_searches_are_dealt_where_a_shuffle_has_as_many_tasks(spark):
             assert len({x["task"] for x in got}) > 4
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_all_pairs_are_laid_out_from_lists(net, spark, monkeypatch):
+    """Each pair of locations was once a row of a join."""
+    monkeypatch.setattr(search, "TOGETHER", 2)
+    points = [(48.0, 11.0025), (48.0, 11.015)]
+    once = {(r["from"], r["to"]): r["duration_ms"] for r in services.matrix(net, _places(spark, *points), _places(spark, *points)).collect()}
+    many = _places(spark, *points * 5)
+    got = services.matrix(net, many, many)
+    rows = got.collect()
+    assert len(rows) == 100 and {(r["from"], r["to"]): r["duration_ms"] for r in rows} == {(a, b): once[a % 2, b % 2] for a in range(10) for b in range(10)}
+    assert "explode(tos" in got._jdf.queryExecution().optimizedPlan().toString()
