@@ -407,3 +407,26 @@ def test_all_pairs_are_laid_out_from_lists(net, spark, monkeypatch):
     rows = got.collect()
     assert len(rows) == 100 and {(r["from"], r["to"]): r["duration_ms"] for r in rows} == {(a, b): once[a % 2, b % 2] for a in range(10) for b in range(10)}
     assert "explode(tos" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_many_origins_share_is_searched_in_parts(spark, monkeypatch):
+    """Each task once gave the labels of whole searches, origin by origin, which makes larger files."""
+    step = {(a, b): (2 + a % 3, 1) for a in range(50) for b in (a + 1, (a * 7 + 3) % 50) if a != b}
+    edges = defaultdict(list)
+    for (a, b), (c, m) in step.items():
+        edges[a].append((b, c, m))
+    seeds = [(o, e, 1, 2) for o in range(20) for e in (o % 2, 900)] + [(77, 5, 0, 0), (78, 901, 4, 4)]
+    want = _by_hand(edges, seeds)
+    graph = spark.createDataFrame([(a, b, c, m) for (a, b), (c, m) in step.items()], "from_en long, to_en long, cost long, metres long")
+    start = spark.createDataFrame(seeds, "origin long, en_id long, cost long, metres long")
+    monkeypatch.setattr(search, "PART", 20)
+    monkeypatch.setattr(search, "PARTED", 8)
+    lists = search._in_parts(search._by_seeds(start.withColumn("w", search.weight(F.col("cost"), F.col("metres")))), 3)
+    assert sorted((len(x["origins"]), x["part"], x["parts"]) for x in lists.collect()) == [(1, 0, 1)] * 2 + sorted((10, k, 3) for k in (0, 1, 2) * 2)
+    got = search.shortest_paths(graph, start).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(want) and {(x["origin"], x["en_id"]): (x["cost"], x["metres"]) for x in got} == want
+    runs = [k for k, x in enumerate(got) if not k or (x["task"], x["en_id"]) != (got[k - 1]["task"], got[k - 1]["en_id"])]
+    assert len(runs) < len(got) / 5  # of 10 origins that share a search, a label's rows lie together
+    assert len({x["task"] for x in got if x["origin"] == 0}) == 3
+    within = {(x["origin"], x["en_id"]): (x["cost"], x["metres"]) for x in search.shortest_paths(graph, start, 9).collect()}
+    assert within == _by_hand(edges, seeds, 9)
